@@ -23,8 +23,8 @@ def strings(values: list[str]) -> Column:
 
 def len_ratio(text: Column, size: int) -> Column:
     """Length of the stripped raw text over its cap, at most 1; 0 if absent."""
-    ratio = F.char_length(strip(text)) / F.lit(float(size))
-    return F.coalesce(F.least(ratio, F.lit(1.0)), F.lit(0.0))
+    length = F.coalesce(F.char_length(strip(text)), F.lit(0))
+    return F.least(length / F.lit(float(size)), F.lit(1.0))
 
 
 def category_index(value: Column, values: list[str], default: str) -> Column:

@@ -57,7 +57,7 @@ def keyword_class(*texts: Column) -> Column:
     return F.coalesce(*found)
 
 
-def rule_class_id(value: Column, *texts: Column) -> Column:
-    """Class id by rules alone: the value decides, then the keywords."""
-    name = F.coalesce(value_class(value), keyword_class(*texts), F.lit(INSENSITIVE))
+def rule_class_id(value: Column, keyword: Column) -> Column:
+    """Class id by rules alone: the value decides, then the keyword of its column."""
+    name = F.coalesce(value_class(value), keyword, F.lit(INSENSITIVE))
     return (F.array_position(F.array(*[F.lit(c) for c in CLASSES]), name) - 1).cast("int")

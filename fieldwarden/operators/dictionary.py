@@ -56,9 +56,14 @@ def word_counts(texts: DataFrame, text: str = "text", weight: Column | None = No
 
 
 def special_tokens(counts: DataFrame) -> DataFrame:
-    spark = counts.sparkSession
-    rows = [(PAD, PAD_ID, 0), (UNK, UNK_ID, 0), (EOS, EOS_ID, 0)]
-    return spark.createDataFrame(rows, "token string, id int, n bigint")
+    by_id = {PAD_ID: PAD, UNK_ID: UNK, EOS_ID: EOS}
+    names = F.array(*[F.lit(by_id[i]) for i in range(FIRST_TOKEN_ID)])
+    ids = counts.sparkSession.range(0, FIRST_TOKEN_ID, 1, 1)
+    return ids.select(
+        F.get(names, F.col("id").cast("int")).alias("token"),
+        F.col("id").cast("int").alias("id"),
+        F.lit(0).cast("long").alias("n"),
+    )
 
 
 def char_dictionary(counts: DataFrame) -> DataFrame:

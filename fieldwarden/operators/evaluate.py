@@ -13,9 +13,8 @@ SUMMARY = "AVG / TOTAL"
 
 def class_frame(df: DataFrame) -> DataFrame:
     """All classes, so that reports show those which never occur."""
-    return df.sparkSession.createDataFrame(
-        [(i, name) for i, name in enumerate(CLASSES)], "class_id int, class string"
-    )
+    ids = df.sparkSession.range(0, len(CLASSES), 1, 1).select(F.col("id").cast("int").alias("class_id"))
+    return ids.select("class_id", class_name(F.col("class_id")).alias("class"))
 
 
 def pair_counts(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:

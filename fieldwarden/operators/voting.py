@@ -20,7 +20,7 @@ def vote(
         F.count(F.lit(1)).alias("_n"), F.min(position).alias("_first")
     )
     best = counts.groupBy(*group).agg(
-        F.max_by("_p", F.struct("_n", -F.col("_first"))).alias("label"),
+        F.min_by("_p", F.struct(-F.col("_n"), F.col("_first"))).alias("label"),
         F.max("_n").alias("_votes"),
         F.sum("_n").alias("n_values"),
     )

@@ -2,9 +2,12 @@
 
 Two branches as in the published model: the wide vector, and the text of each
 field. A convolution of width three over characters sees character 3-grams, so
-each text field is hashed as its 3-grams (with their position-free counts); a
-multinomial logistic regression joins the branches. It is another model than a
-neural network and its quality is reported as such.
+each text field is hashed as its 3-grams; a multinomial logistic regression
+joins the branches. It is another model than a neural network and its quality
+is reported as such.
+
+Metadata is encoded once per column, ahead of the join with the values; per
+value only the value's own text is hashed.
 """
 
 from __future__ import annotations
@@ -20,20 +23,22 @@ from pyspark.sql import functions as F
 
 from fieldwarden.functions.encoders import class_weight, class_weights
 from fieldwarden.functions.text import EOS_MARK, PAD_MARK, clean_text
-from fieldwarden.functions.vocab import CLASSES, DEEP_LAYOUT, MAX_LEN, WIDE_SIZE
+from fieldwarden.functions.vocab import CLASSES, DEEP_LAYOUT, KEY, MAX_LEN, WIDE_LAYOUT, WIDE_SIZE
 from fieldwarden.operators.evaluate import accuracy, classification_report
-from fieldwarden.operators.features import COLUMN_TYPE_FROM, wide_features
+from fieldwarden.operators.features import COLUMN_TYPE_FROM, labels, wide_features
+from fieldwarden.operators.joining import META_ALIASES, attach
 from fieldwarden.sources.store import save_model
 
 GRAM = 3
+HASH_BITS = 11
+META_VECTOR, VALUE_VECTOR = "_meta_vector", "_value_vector"
 
 
-def grams(text: Column, size: int) -> Column:
-    """Character 3-grams of the cleaned, capped text, with marks at both ends.
+def grams(cleaned: Column) -> Column:
+    """Character 3-grams of a cleaned text, with marks at both ends.
 
     Digits are also given as one symbol, so that the shapes of numbers generalise.
     """
-    cleaned = F.substring(clean_text(text), 1, size)
     marked = F.concat(F.lit(PAD_MARK), cleaned, F.lit(EOS_MARK))
     shape = F.regexp_replace(marked, "[0-9]", "9")
 
@@ -48,32 +53,53 @@ def grams(text: Column, size: int) -> Column:
     )
 
 
-def model_input(df: DataFrame, column_type_from: str = COLUMN_TYPE_FROM) -> DataFrame:
-    """Feature columns for the pipeline below, next to the given columns."""
-    out = df.withColumn("_wide", array_to_vector(wide_features(df.columns, column_type_from)))
-    texts = {f: F.coalesce(F.col(f), F.lit("")) if f in df.columns else F.lit("") for f in DEEP_LAYOUT}
-    return out.withColumns({f"_g_{f}": grams(text, MAX_LEN[f]) for f, text in texts.items()})
+def encode(df: DataFrame, fields: list[str], output: str, column_type_from: str = COLUMN_TYPE_FROM) -> DataFrame:
+    """Add one vector of the wide slots and hashed texts of the given fields."""
+    texts = [f for f in fields if f in MAX_LEN]
+    cleaned = {
+        f"_c_{f}": clean_text(F.coalesce(F.col(f), F.lit(""))) if f in df.columns else F.lit("")
+        for f in texts
+    }
+    wide = array_to_vector(wide_features(df.columns, column_type_from, fields))
+    out = df.withColumns({**cleaned, "_wide": wide})
+    out = out.withColumns(
+        {f"_g_{f}": grams(F.substring(f"_c_{f}", 1, MAX_LEN[f])) for f in texts}
+    )
+    for f in texts:
+        hasher = HashingTF(inputCol=f"_g_{f}", outputCol=f"_x_{f}", numFeatures=1 << HASH_BITS)
+        out = hasher.transform(out)
+    parts = ["_wide", *[f"_x_{f}" for f in texts]]
+    joined = VectorAssembler(inputCols=parts, outputCol=output).transform(out)
+    return joined.select(*df.columns, output)
 
 
-def text_stages(hash_bits: int) -> list:
-    hashers = [
-        HashingTF(inputCol=f"_g_{f}", outputCol=f"_x_{f}", numFeatures=1 << hash_bits)
-        for f in DEEP_LAYOUT
-    ]
-    joined = VectorAssembler(
-        inputCols=["_wide", *[f"_x_{f}" for f in DEEP_LAYOUT]], outputCol="_features"
-    )
-    return [*hashers, joined]
+def encode_meta(meta: DataFrame, column_type_from: str = COLUMN_TYPE_FROM) -> DataFrame:
+    return encode(meta, WIDE_LAYOUT[:-1], META_VECTOR, column_type_from)
 
 
-def classifier_pipeline(
-    hash_bits: int = 11,
-    max_iter: int = 30,
-    reg: float = 1e-4,
-    label: str = "class_id",
-    weighted: bool = False,
+def encode_values(rows: DataFrame) -> DataFrame:
+    return encode(rows, ["column_value"], VALUE_VECTOR)
+
+
+def learning_rows(
+    values: DataFrame,
+    meta: DataFrame,
+    carry: list[str] | None = None,
+    column_type_from: str = COLUMN_TYPE_FROM,
+) -> DataFrame:
+    """Encoded, labelled rows of every value whose column is in ``meta``."""
+    meta = labels(meta.withColumnsRenamed(META_ALIASES))
+    kept = [*(carry or []), "is_sensitive", "class_id", META_VECTOR]
+    encoded = encode_meta(meta, column_type_from).select(*KEY, *kept)
+    joined = attach(values.select(*KEY, "column_value"), encoded)
+    return encode_values(joined.na.fill("", ["column_value"]))
+
+
+def classifier(
+    max_iter: int = 30, reg: float = 1e-4, label: str = "class_id", weighted: bool = False
 ) -> Pipeline:
     """Joint linear classifier over both branches."""
+    joined = VectorAssembler(inputCols=[META_VECTOR, VALUE_VECTOR], outputCol="_features")
     estimator = LogisticRegression(
         featuresCol="_features",
         labelCol=label,
@@ -82,15 +108,15 @@ def classifier_pipeline(
         rawPredictionCol="_raw",
         maxIter=max_iter,
         regParam=reg,
-        # equal to the spread of the features, hashed counts need no scaling
+        # hashed counts share one scale
         standardization=False,
         **({"weightCol": "_weight"} if weighted else {}),
     )
-    return Pipeline(stages=[*text_stages(hash_bits), estimator])
+    return Pipeline(stages=[joined, estimator])
 
 
-def perceptron_pipeline(hidden: list[int], max_iter: int = 60, label: str = "class_id") -> Pipeline:
-    """Feed-forward layers over the wide vector alone (it takes no weights)."""
+def perceptron(hidden: list[int], max_iter: int = 60, label: str = "class_id") -> Pipeline:
+    """Feed-forward layers over the wide vector alone (``_wide``); it takes no weights."""
     estimator = MultilayerPerceptronClassifier(
         featuresCol="_wide",
         labelCol=label,
@@ -104,10 +130,6 @@ def perceptron_pipeline(hidden: list[int], max_iter: int = 60, label: str = "cla
     return Pipeline(stages=[estimator])
 
 
-def with_weights(df: DataFrame, label: str, weights: list[float] | None) -> DataFrame:
-    return df.withColumn("_weight", class_weight(F.col(label), weights)) if weights else df
-
-
 def train(
     rows: DataFrame,
     label: str = "class_id",
@@ -115,23 +137,25 @@ def train(
     balanced: bool = False,
     **options,
 ) -> PipelineModel:
-    """Fit on labelled rows with metadata fields and values.
+    """Fit on encoded, labelled rows.
 
     ``balanced`` weighs the classes by the default ratio; ``label`` may also
-    name the binary flag.
+    name the binary flag. Spark ML keeps the training rows in memory or on disk
+    while it iterates.
     """
     if balanced and weights is None:
         weights = class_weights(len(CLASSES))
-    ready = with_weights(model_input(rows), label, weights)
-    return classifier_pipeline(label=label, weighted=bool(weights), **options).fit(ready)
+    ready = rows.filter(F.col(label).isNotNull())
+    if weights:
+        ready = ready.withColumn("_weight", class_weight(F.col(label), weights))
+    return classifier(label=label, weighted=bool(weights), **options).fit(ready)
 
 
-def predict(model: PipelineModel, rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Predicted class id of every row, and the probability given to it."""
-    keep = rows.columns if keep is None else keep
-    out = model.transform(model_input(rows))
-    return out.select(
-        *keep,
+def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """Predicted class of every encoded row, and the probability given to it."""
+    dropped = {META_VECTOR, VALUE_VECTOR}
+    return model.transform(rows).select(
+        *[c for c in rows.columns if c not in dropped],
         F.col("_predicted").cast("int").alias("prediction"),
         F.array_max(vector_to_array("_probability")).alias("confidence"),
     )
@@ -139,13 +163,7 @@ def predict(model: PipelineModel, rows: DataFrame, keep: list[str] | None = None
 
 def evaluate(model: PipelineModel, rows: DataFrame, label: str = "class_id") -> DataFrame:
     """Classification report of a model on labelled rows."""
-    scored = predict(model, rows, keep=[label])
-    return classification_report(scored, label, "prediction")
-
-
-def score_of(model: PipelineModel, rows: DataFrame, label: str) -> float:
-    scored = predict(model, rows, keep=[label])
-    return accuracy(scored, label, "prediction").first().accuracy
+    return classification_report(predict(model, rows), label, "prediction")
 
 
 def train_best(
@@ -159,7 +177,7 @@ def train_best(
     best, best_score, version = None, -1.0, 0
     for options in settings:
         model = train(train_rows, label, **options)
-        reached = score_of(model, valid_rows, label)
+        reached = accuracy(predict(model, valid_rows), label, "prediction").first().accuracy
         if reached >= best_score:
             best, best_score, version = model, reached, version + 1
             save_model(model, path, version)

@@ -3,46 +3,69 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldwarden.functions.encoders import class_name
-from fieldwarden.functions.rules import rule_class_id
-from fieldwarden.functions.vocab import STATUS_OK
+from fieldwarden.functions.rules import keyword_class, rule_class_id
+from fieldwarden.functions.vocab import KEY, STATUS_OK
+from fieldwarden.operators.joining import META_ALIASES, attach
 from fieldwarden.operators.voting import gather_predictions, vote, vote_in_row
 from fieldwarden.plans import learn
-from fieldwarden.sources.requests import explode_request_values, validate_requests
-
-# adds a ``prediction`` column to rows of metadata fields and a value
-Predictor = Callable[[DataFrame], DataFrame]
+from fieldwarden.sources.requests import explode_request_values, valid_requests, validate_requests
 
 RESULT = ["status", "error_msg", "label", "raw_label", "probability", "predictions"]
 
 
+@dataclass(frozen=True)
+class Predictor:
+    """Two steps: ``prepare`` once per column, ``predict`` once per value.
+
+    ``prepare`` sees metadata fields and adds the column ``carried``; ``predict``
+    sees that column and a value and adds ``prediction``.
+    """
+
+    prepare: Callable[[DataFrame], DataFrame]
+    predict: Callable[[DataFrame], DataFrame]
+    carried: str
+
+
 def by_model(model: PipelineModel) -> Predictor:
-    return lambda rows: learn.predict(model, rows)
+    return Predictor(
+        learn.encode_meta,
+        lambda rows: learn.predict(model, learn.encode_values(rows)),
+        learn.META_VECTOR,
+    )
 
 
-def by_rules(rows: DataFrame) -> DataFrame:
-    """Predictions from patterns and keywords alone."""
-    hint = rule_class_id(F.col("column_value"), F.col("column_name"), F.col("column_comment"))
-    return rows.withColumn("prediction", hint)
+def by_rules() -> Predictor:
+    """Patterns in the values, then keywords in the name and comment of the column."""
+    hint = keyword_class(F.col("column_name"), F.col("column_comment"))
+    return Predictor(
+        lambda meta: meta.withColumn("_keyword", hint),
+        lambda rows: rows.withColumn(
+            "prediction", rule_class_id(F.col("column_value"), F.col("_keyword"))
+        ),
+        "_keyword",
+    )
 
 
-def score_requests(requests: DataFrame, predictor: Predictor, key: str, body: str = "body") -> DataFrame:
+def score_requests(
+    requests: DataFrame, predictor: Predictor, key: str, body: str = "body"
+) -> DataFrame:
     """One result per request; invalid requests carry their status and message only.
 
     The vote runs over the gathered list, inside the row.
     """
     checked = validate_requests(requests, body)
-    values = explode_request_values(checked, [key])
-    lists = gather_predictions(
-        predictor(values).select(key, "position", "prediction"), [key]
-    )
-    best = vote_in_row(F.col("predictions"))
-    results = lists.withColumn("_best", best).select(
+    prepared = predictor.prepare(valid_requests(checked, [key]))
+    values = explode_request_values(prepared, [key, predictor.carried])
+    predicted = predictor.predict(values)
+    lists = gather_predictions(predicted.select(key, "position", "prediction"), [key])
+    results = lists.withColumn("_best", vote_in_row(F.col("predictions"))).select(
         F.lit(STATUS_OK).alias("status"),
         F.lit("").alias("error_msg"),
         key,
@@ -55,14 +78,27 @@ def score_requests(requests: DataFrame, predictor: Predictor, key: str, body: st
     return results.unionByName(refused, allowMissingColumns=True).select(key, *RESULT)
 
 
-def score_columns(values: DataFrame, predictor: Predictor, group: list[str]) -> DataFrame:
-    """One vote per column over a whole catalogue of (metadata, value) rows.
+def score_columns(
+    values: DataFrame,
+    meta: DataFrame,
+    predictor: Predictor,
+    position: str = "position",
+    carry: list[str] | None = None,
+) -> DataFrame:
+    """One vote per column over a whole catalogue of values.
 
-    Columns may hold any number of values: only counts are shuffled.
+    Columns may hold any number of values: only counts are shuffled after the
+    join. Ties go to the prediction met first in the order of ``position``.
     """
-    return vote(predictor(values), group)
+    carry = carry or []
+    prepared = predictor.prepare(meta.withColumnsRenamed(META_ALIASES))
+    joined = attach(values, prepared.select(*KEY, *carry, predictor.carried))
+    predicted = predictor.predict(joined.na.fill("", ["column_value"]))
+    return vote(predicted, [*KEY, *carry], position=position)
 
 
 def to_json(results: DataFrame) -> DataFrame:
     """Results as JSON text, one object per request."""
-    return results.select(F.to_json(F.struct(*RESULT), {"ignoreNullFields": "true"}).alias("value"))
+    return results.select(
+        F.to_json(F.struct(*RESULT), {"ignoreNullFields": "true"}).alias("value")
+    )

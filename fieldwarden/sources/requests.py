@@ -75,15 +75,16 @@ def validate_requests(raw: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
-def explode_request_values(requests: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per value of each valid request; an empty list gives one empty value."""
-    values = F.col("request.column_value")
+def valid_requests(checked: DataFrame, keys: list[str]) -> DataFrame:
+    """Metadata fields and value list of the valid requests."""
+    return checked.filter(F.col("status") == STATUS_OK).select(*keys, "request.*")
+
+
+def explode_request_values(requests: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per value of each request; an empty list gives one empty value."""
+    values = F.col("column_value")
     listed = F.when(F.size(values) == 0, F.array(F.lit(""))).otherwise(values)
-    return requests.filter(F.col("status") == STATUS_OK).select(
-        *keys,
-        *[F.col(f"request.{f}").alias(f) for f in REQUEST_FIELDS],
-        F.posexplode(listed).alias("position", "column_value"),
-    )
+    return requests.select(*keep, F.posexplode(listed).alias("position", "column_value"))
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
