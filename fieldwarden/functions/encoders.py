@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,7 +20,8 @@ from fieldwarden.functions.vocab import (
 
 
 def strings(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """Array literal of names that hold no tab; the split folds away."""
+    return F.split(F.lit("\t".join(values)), "\t")
 
 
 def len_ratio(text: Column, size: int) -> Column:
@@ -37,10 +40,8 @@ def category_index(value: Column, values: list[str], default: str) -> Column:
 
 def one_hot(index: Column, size: int) -> Column:
     """Row ``index`` (1-based) of the identity matrix, which folds to a literal."""
-    rows = [
-        F.array(*[F.lit(1.0 if i == j else 0.0) for j in range(size)]) for i in range(size)
-    ]
-    return F.element_at(F.array(*rows), index)
+    identity = [[float(i == j) for j in range(size)] for i in range(size)]
+    return F.element_at(F.from_json(F.lit(json.dumps(identity)), "array<array<double>>"), index)
 
 
 def column_type_base(column_type: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fieldwarden.functions.encoders import strings
 from fieldwarden.functions.vocab import CLASSES, INSENSITIVE
 
 # ---- Fixed values: value patterns, in order of precedence -------------------
@@ -60,4 +61,4 @@ def keyword_class(*texts: Column) -> Column:
 def rule_class_id(value: Column, keyword: Column) -> Column:
     """Class id by rules alone: the value decides, then the keyword of its column."""
     name = F.coalesce(value_class(value), keyword, F.lit(INSENSITIVE))
-    return (F.array_position(F.array(*[F.lit(c) for c in CLASSES]), name) - 1).cast("int")
+    return (F.array_position(strings(CLASSES), name) - 1).cast("int")

@@ -7,8 +7,9 @@ normalisation could touch are sent there; the others travel as nulls.
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,7 +109,13 @@ EOS_MARK, PAD_MARK = "\x01", "\x02"
 
 @F.arrow_udf(T.StringType())
 def nfkc(text: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(text, form="NFKC")
+    # pyarrow's own normalisation leaves marks uncomposed, hence the standard library
+    if text.null_count == len(text):
+        return text
+    return pa.array(
+        [None if s is None else unicodedata.normalize("NFKC", s) for s in text.to_pylist()],
+        pa.string(),
+    )
 
 
 def strip(text: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 PREFIX = 4  # hex digits: 65,536 buckets per stratum
 CHUNK = 1 << 16  # most copies one generator call emits
+MAX_BROADCAST_STRATA = 10_000
 
 Cut = Callable[[Column], Column]
 
@@ -36,6 +37,16 @@ def stratum_match(keys: list[str], prefix: str = "_s") -> Column:
     )
 
 
+def broadcast_if_few(bounds: DataFrame, rows: DataFrame, strata: list[str]) -> DataFrame:
+    """Mark one-row-per-stratum bounds for broadcast after counting the strata.
+
+    Few strata are the usual case, and the rows then need no shuffle; with many
+    the join shuffles, and adaptive execution splits a hot stratum.
+    """
+    few = rows.select(*strata).distinct().limit(MAX_BROADCAST_STRATA + 1).count()
+    return F.broadcast(bounds) if few <= MAX_BROADCAST_STRATA else bounds
+
+
 def with_copies(df: DataFrame, copies: str = "_copies") -> DataFrame:
     """Distinct rows and how often each occurs; equal rows meet already map-side."""
     return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(copies))
@@ -113,9 +124,9 @@ def cut_rows(
     bounds = [e.alias(name) for name, e in fields.items()]
 
     if strata:
-        # one row per stratum; the optimizer broadcasts it if its size allows
+        per_stratum = renamed(last.groupBy(*strata).agg(*bounds), strata)
         joined = rows.join(
-            renamed(last.groupBy(*strata).agg(*bounds), strata), stratum_match(strata), "left"
+            broadcast_if_few(per_stratum, df, strata), stratum_match(strata), "left"
         )
     else:
         only = last.agg(*bounds).select(F.struct(*fields).alias("_b")).scalar()

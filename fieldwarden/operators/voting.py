@@ -55,11 +55,11 @@ def gather_predictions(
     """Predictions of each request in the order of its values.
 
     The list has the length of the value list that came in the same request
-    row, so a group holds no more than one input record did.
+    row, so a group holds no more than one input record did. Rows without a
+    position add nothing.
     """
-    pairs = F.array_sort(
-        F.collect_list(F.struct(F.col(position).alias("at"), F.col(prediction).cast("int").alias("p")))
-    )
+    pair = F.struct(F.col(position).alias("at"), F.col(prediction).cast("int").alias("p"))
+    pairs = F.array_sort(F.collect_list(F.when(F.col(position).isNotNull(), pair)))
     return df.groupBy(*group).agg(F.transform(pairs, lambda x: x["p"]).alias("predictions"))
 
 

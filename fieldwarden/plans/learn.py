@@ -29,32 +29,23 @@ from fieldwarden.operators.features import COLUMN_TYPE_FROM, labels, wide_featur
 from fieldwarden.operators.joining import META_ALIASES, attach
 from fieldwarden.sources.store import save_model
 
-GRAM = 3
-HASH_BITS = 11
+META_HASH_BITS, VALUE_HASH_BITS = 13, 12
 META_VECTOR, VALUE_VECTOR = "_meta_vector", "_value_vector"
 
 
-def grams(cleaned: Column) -> Column:
-    """Character 3-grams of a cleaned text, with marks at both ends.
-
-    Digits are also given as one symbol, so that the shapes of numbers generalise.
-    """
-    marked = F.concat(F.lit(PAD_MARK), cleaned, F.lit(EOS_MARK))
-    shape = F.regexp_replace(marked, "[0-9]", "9")
-
-    def windows(run: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.char_length(run) - (GRAM - 1), F.lit(1)))
-        return F.transform(starts, lambda i: F.substring(run, i, F.lit(GRAM)))
-
-    return F.concat(
-        windows(marked),
-        F.transform(windows(shape), lambda g: F.concat(F.lit("#"), g)),
-        F.array(F.concat(F.lit("len:"), F.char_length(cleaned).cast("string"))),
-    )
+def grams(marked: Column) -> Column:
+    """All overlapping character 3-grams, in one pass of the expression engine."""
+    return F.regexp_extract_all(marked, F.lit("(?s)(?=(.{3}))"), F.lit(1))
 
 
-def encode(df: DataFrame, fields: list[str], output: str, column_type_from: str = COLUMN_TYPE_FROM) -> DataFrame:
-    """Add one vector of the wide slots and hashed texts of the given fields."""
+def encode(
+    df: DataFrame,
+    fields: list[str],
+    output: str,
+    hash_bits: int,
+    column_type_from: str = COLUMN_TYPE_FROM,
+) -> DataFrame:
+    """Add one vector of the wide slots and hashed 3-grams of the given fields."""
     texts = [f for f in fields if f in MAX_LEN]
     cleaned = {
         f"_c_{f}": clean_text(F.coalesce(F.col(f), F.lit(""))) if f in df.columns else F.lit("")
@@ -62,23 +53,37 @@ def encode(df: DataFrame, fields: list[str], output: str, column_type_from: str
     }
     wide = array_to_vector(wide_features(df.columns, column_type_from, fields))
     out = df.withColumns({**cleaned, "_wide": wide})
+
+    capped = {f: F.substring(f"_c_{f}", 1, MAX_LEN[f]) for f in texts}
     out = out.withColumns(
-        {f"_g_{f}": grams(F.substring(f"_c_{f}", 1, MAX_LEN[f])) for f in texts}
+        {f"_m_{f}": F.concat(F.lit(PAD_MARK), c, F.lit(EOS_MARK)) for f, c in capped.items()}
     )
-    for f in texts:
-        hasher = HashingTF(inputCol=f"_g_{f}", outputCol=f"_x_{f}", numFeatures=1 << HASH_BITS)
-        out = hasher.transform(out)
-    parts = ["_wide", *[f"_x_{f}" for f in texts]]
-    joined = VectorAssembler(inputCols=parts, outputCol=output).transform(out)
-    return joined.select(*df.columns, output)
+
+    def own(f: str) -> Column:
+        """3-grams of a field, told apart from those of the other fields.
+
+        Digits are also given as one symbol, so that the shapes of numbers generalise.
+        """
+        marked = F.col(f"_m_{f}")
+        shapes = grams(F.regexp_replace(marked, "[0-9]", "9"))
+        return F.concat(
+            F.transform(grams(marked), lambda g: F.concat(F.lit(f"{f}:"), g)),
+            F.transform(shapes, lambda g: F.concat(F.lit(f"{f}#"), g)),
+            F.array(F.concat(F.lit(f"{f}="), F.char_length(marked).cast("string"))),
+        )
+
+    out = out.withColumn("_grams", F.concat(*[own(f) for f in texts]))
+    hasher = HashingTF(inputCol="_grams", outputCol="_hashed", numFeatures=1 << hash_bits)
+    joined = VectorAssembler(inputCols=["_wide", "_hashed"], outputCol=output)
+    return joined.transform(hasher.transform(out)).select(*df.columns, output)
 
 
 def encode_meta(meta: DataFrame, column_type_from: str = COLUMN_TYPE_FROM) -> DataFrame:
-    return encode(meta, WIDE_LAYOUT[:-1], META_VECTOR, column_type_from)
+    return encode(meta, WIDE_LAYOUT[:-1], META_VECTOR, META_HASH_BITS, column_type_from)
 
 
 def encode_values(rows: DataFrame) -> DataFrame:
-    return encode(rows, ["column_value"], VALUE_VECTOR)
+    return encode(rows, ["column_value"], VALUE_VECTOR, VALUE_HASH_BITS)
 
 
 def learning_rows(

@@ -15,7 +15,7 @@ from fieldwarden.functions.vocab import KEY, STATUS_OK
 from fieldwarden.operators.joining import META_ALIASES, attach
 from fieldwarden.operators.voting import gather_predictions, vote, vote_in_row
 from fieldwarden.plans import learn
-from fieldwarden.sources.requests import explode_request_values, valid_requests, validate_requests
+from fieldwarden.sources.requests import explode_request_values, request_fields, validate_requests
 
 RESULT = ["status", "error_msg", "label", "raw_label", "probability", "predictions"]
 
@@ -58,24 +58,26 @@ def score_requests(
 ) -> DataFrame:
     """One result per request; invalid requests carry their status and message only.
 
-    The vote runs over the gathered list, inside the row.
+    Both kinds go through one pass over the input, and the vote runs over the
+    gathered list, inside the row.
     """
     checked = validate_requests(requests, body)
-    prepared = predictor.prepare(valid_requests(checked, [key]))
-    values = explode_request_values(prepared, [key, predictor.carried])
-    predicted = predictor.predict(values)
-    lists = gather_predictions(predicted.select(key, "position", "prediction"), [key])
-    results = lists.withColumn("_best", vote_in_row(F.col("predictions"))).select(
-        F.lit(STATUS_OK).alias("status"),
-        F.lit("").alias("error_msg"),
+    carried = [key, "status", "error_msg"]
+    prepared = predictor.prepare(request_fields(checked, carried))
+    values = explode_request_values(prepared, [*carried, predictor.carried], outer=True)
+    predicted = predictor.predict(values.na.fill("", ["column_value"]))
+    lists = gather_predictions(predicted, carried)
+    valid = F.col("status") == STATUS_OK
+    best = F.when(valid, vote_in_row(F.col("predictions")))
+    return lists.withColumn("_best", best).select(
         key,
+        "status",
+        "error_msg",
         F.col("_best.label").alias("label"),
         class_name(F.col("_best.label")).alias("raw_label"),
         F.col("_best.probability").alias("probability"),
-        "predictions",
+        F.when(valid, F.col("predictions")).alias("predictions"),
     )
-    refused = checked.filter(F.col("status") != STATUS_OK).select("status", "error_msg", key)
-    return results.unionByName(refused, allowMissingColumns=True).select(key, *RESULT)
 
 
 def score_columns(

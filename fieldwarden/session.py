@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot join key even where that costs one more exchange downstream
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # the work per row is heavy, so small shuffles should still use all cores
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32KB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -37,6 +39,14 @@ def local_session(cores: str | int = "*", app: str = "fieldwarden", **conf: str)
     return spark
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the defaults to a session wherever it has no setting of its own."""
+    for key, value in DEFAULTS.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+    return spark
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below the shared checkpoint folder of the session.
 
@@ -52,3 +62,21 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.gettempdir()
     return os.path.join(root, "fieldwarden", f"{purpose}-{uuid.uuid4().hex}")
+
+
+# inputs below this size may be spread before heavy work per row
+SMALL_INPUT = 256 << 20
+BYTES_PER_TASK = 64 << 10
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a small input over the cores; leave a large one where it is.
+
+    A small file is often a single row group, so one task would do all the work
+    of a costly expression. Large inputs have enough row groups, and their
+    shuffle would cost more than it gains, so the size estimate decides.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = min(cores, size // BYTES_PER_TASK)
+    return df.repartition(tasks) if size < SMALL_INPUT and tasks > 1 else df

@@ -16,8 +16,9 @@ BODY = T.StructType(
 )
 
 
-def shown(value: Column, kind: Column) -> Column:
+def shown(value: Column) -> Column:
     """A JSON value as the error message quotes it."""
+    kind = F.schema_of_variant(value)
     return (
         F.when(kind == "VOID", "None")
         .when(kind == "BOOLEAN", F.initcap(F.to_json(value)))
@@ -26,28 +27,8 @@ def shown(value: Column, kind: Column) -> Column:
     )
 
 
-def field_error(field: str) -> Column:
-    """Message for a field of the wrong type; null if it is right or missing."""
-    value = F.variant_get(F.col("_v"), f"$.{field}", "variant")
-    kind = F.schema_of_variant(value)
-    if field != "column_value":
-        message = F.concat(shown(value, kind), F.lit(" is not of type 'string'"))
-        return F.when(value.isNotNull() & (kind != "STRING"), message)
-    listed = F.try_variant_get(F.col("_v"), f"$.{field}", "array<variant>")
-    items = F.filter(listed, lambda item: F.schema_of_variant(item) != "STRING")
-    first = F.get(items, F.lit(0))
-    return F.when(
-        value.isNotNull() & ~F.startswith(kind, F.lit("ARRAY<")),
-        F.concat(shown(value, kind), F.lit(" is not of type 'array'")),
-    ).when(
-        F.startswith(kind, F.lit("ARRAY<")) & (F.size(items) > 0),
-        F.concat(shown(first, F.schema_of_variant(first)), F.lit(" is not of type 'string'")),
-    )
-
-
-def missing_error(field: str) -> Column:
-    value = F.variant_get(F.col("_v"), f"$.{field}", "variant")
-    return F.when(value.isNull(), F.lit(f"'{field}' is a required property"))
+def not_of_type(value: Column, name: str) -> Column:
+    return F.concat(shown(value), F.lit(f" is not of type '{name}'"))
 
 
 def validate_requests(raw: DataFrame, body: str = "body") -> DataFrame:
@@ -55,36 +36,65 @@ def validate_requests(raw: DataFrame, body: str = "body") -> DataFrame:
 
     Types are strict: a number or null in place of a string is an error, while
     further keys are allowed. The first wrong type is reported, else the first
-    missing key.
+    missing key. Types are looked up once per field; a message is only built
+    for the one field at fault.
     """
-    parsed = raw.withColumn("_v", F.try_parse_json(F.col(body)))
-    is_object = F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT<"))
-    problem = F.coalesce(
-        F.when(F.col("_v").isNull(), F.lit("malformed JSON")),
-        F.when(~is_object, F.concat(F.to_json("_v"), F.lit(" is not of type 'object'"))),
-        *[field_error(f) for f in REQUIRED],
-        *[missing_error(f) for f in REQUIRED],
+    field = {f: F.variant_get(F.col("_v"), f"$.{f}", "variant") for f in REQUIRED}
+    listed = F.try_variant_get(F.col("_v"), "$.column_value", "array<variant>")
+    wrong_items = F.filter(listed, lambda item: F.schema_of_variant(item) != "STRING")
+    kinds = [F.schema_of_variant(field[f]) for f in REQUEST_FIELDS]
+    kinds.append(F.when(field["column_value"].isNotNull(), F.when(listed.isNull(), "OTHER").otherwise("STRING")))
+
+    parsed = raw.withColumn("_v", F.try_parse_json(F.col(body))).withColumns(
+        {"_kinds": F.array(*kinds), "_item": F.get(wrong_items, F.lit(0))}
+    )
+    names = F.array(*[F.lit(f) for f in REQUIRED])
+    wrong = F.array_position(F.transform("_kinds", lambda k: k != "STRING"), True)
+    missing = F.array_position(F.transform("_kinds", lambda k: k.isNull()), True)
+    located = parsed.withColumns({"_wrong": wrong, "_missing": missing})
+
+    def at_fault(place: str) -> Column:
+        return F.element_at(names, F.col(place).cast("int"))
+
+    culprit = F.variant_get(F.col("_v"), F.concat(F.lit("$."), at_fault("_wrong")), "variant")
+    problem = (
+        F.when(F.col("_v").isNull(), F.lit("malformed JSON"))
+        .when(
+            ~F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT<")),
+            not_of_type(F.col("_v"), "object"),
+        )
+        .when(F.col("_wrong") == len(REQUIRED), not_of_type(culprit, "array"))
+        .when(F.col("_wrong") > 0, not_of_type(culprit, "string"))
+        .when(F.col("_item").isNotNull(), not_of_type(F.col("_item"), "string"))
+        .when(F.col("_missing") > 0, F.concat(F.lit("'"), at_fault("_missing"), F.lit("' is a required property")))
+        .otherwise("")
     )
-    checked = parsed.withColumn("_problem", problem)
-    valid = F.col("_problem").isNull()
+    request = F.try_variant_get(F.col("_v"), "$", BODY.simpleString())
+    checked = located.withColumns({"error_msg": problem, "_request": request})
+    valid = F.col("error_msg") == ""
     return checked.select(
         *raw.columns,
         F.when(valid, STATUS_OK).otherwise(STATUS_BAD_REQUEST).alias("status"),
-        F.coalesce("_problem", F.lit("")).alias("error_msg"),
-        F.when(valid, F.from_json(F.col(body), BODY)).alias("request"),
+        "error_msg",
+        F.when(valid, F.col("_request")).alias("request"),
     )
 
 
-def valid_requests(checked: DataFrame, keys: list[str]) -> DataFrame:
-    """Metadata fields and value list of the valid requests."""
-    return checked.filter(F.col("status") == STATUS_OK).select(*keys, "request.*")
+def request_fields(checked: DataFrame, keep: list[str]) -> DataFrame:
+    """Metadata fields and value list of the requests; all null for invalid ones."""
+    return checked.select(*keep, "request.*")
 
 
-def explode_request_values(requests: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per value of each request; an empty list gives one empty value."""
+def explode_request_values(requests: DataFrame, keep: list[str], outer: bool = False) -> DataFrame:
+    """One row per value of each request; an empty list gives one empty value.
+
+    Invalid requests have no list and drop out, or leave one row without a
+    position if ``outer`` is set.
+    """
     values = F.col("column_value")
     listed = F.when(F.size(values) == 0, F.array(F.lit(""))).otherwise(values)
-    return requests.select(*keep, F.posexplode(listed).alias("position", "column_value"))
+    split = F.posexplode_outer(listed) if outer else F.posexplode(listed)
+    return requests.select(*keep, split.alias("position", "column_value"))
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:

@@ -19,8 +19,8 @@ from fieldwarden.operators import dictionary as dic
 from fieldwarden.operators.balance import clean_labels, split_stratified
 from fieldwarden.operators.features import dataset_features, wide_features
 from fieldwarden.operators.joining import attach
-from fieldwarden.session import shared_dir
-from fieldwarden.sources.store import build_or_reuse_dictionary, read_features, write_features
+from fieldwarden.session import shared_dir, spread_small
+from fieldwarden.sources.store import build_or_reuse_dictionary, read_features, write_features, write_splits
 from workload import sql
 from workload.catalog_queries import JOINED
 from workload.data_queries import SPLIT
@@ -31,7 +31,7 @@ SEPARATOR = "¦"
 
 @query("clean_text", f"SELECT id, {sql.clean('text')} AS text FROM @f_text@")
 def clean_text(t: Tables):
-    return t.f_text.select("id", tx.clean_text(F.col("text")).alias("text"))
+    return spread_small(t.f_text).select("id", tx.clean_text(F.col("text")).alias("text"))
 
 
 ZH = "＂＃＄％＆＇（）＊＋，－／：；＜＝＞＠［＼］＾＿｀｛｜｝～｟｠｢｣､　、〃〈〉《》「」『』【】〔〕〖〗〘〙〚〛〜〝〞〟〰〾〿–—‘’‛“”„‟…‧﹏﹑﹔·！？｡。"
@@ -73,12 +73,12 @@ WORDS = counted(
 
 @query("char_counts", CHARS)
 def char_counts(t: Tables):
-    return dic.char_counts(t.f_text)
+    return dic.char_counts(spread_small(t.f_text))
 
 
 @query("word_counts", WORDS)
 def word_counts(t: Tables):
-    return dic.word_counts(t.f_text)
+    return dic.word_counts(spread_small(t.f_text))
 
 
 def ranked(counts: str, order: str, kind: str) -> str:
@@ -94,7 +94,7 @@ DICTIONARY = ranked(counted(f"string_split({sql.clean('text')}, '')", FIELD_TEXT
 
 
 def field_dictionary(t: Tables) -> DataFrame:
-    texts = dic.dictionary_texts(t.f_meta, t.f_values)
+    texts = dic.dictionary_texts(t.f_meta, spread_small(t.f_values))
     return dic.char_dictionary(dic.char_counts(texts, weight=F.col("n")))
 
 
@@ -106,7 +106,7 @@ def char_dictionary(t: Tables):
 
 @query("word_dictionary", ranked(WORDS, "md5(token), token", "BIGINT"))
 def word_dictionary(t: Tables):
-    return dic.word_dictionary(dic.word_counts(t.f_text))
+    return dic.word_dictionary(dic.word_counts(spread_small(t.f_text)))
 
 
 LOOKUP = f"(SELECT map(list(token), list(id)) AS m FROM ({DICTIONARY}) WHERE id > 2)"
@@ -129,7 +129,7 @@ def millionths(numbers: Column) -> Column:
 def text_sequence(t: Tables):
     table = tx.id_table(dic.char_ids(field_dictionary(t)))
     cleaned = tx.clean_text(F.coalesce("column_value", F.lit("")))
-    return t.f_values.select(
+    return spread_small(t.f_values).select(
         "row_id", joined_text(tx.text_sequence(cleaned, MAX_LEN["column_value"], table)).alias("ids")
     )
 
@@ -149,7 +149,7 @@ def wide_sql(column_type: str) -> str:
 
 
 def with_row_ids(t: Tables) -> DataFrame:
-    return attach(t.f_values.select(*KEY, "column_value", "row_id"), t.f_meta)
+    return attach(spread_small(t.f_values).select(*KEY, "column_value", "row_id"), t.f_meta)
 
 
 @query("wide_features", wide_sql("database_type"))
@@ -181,7 +181,7 @@ DEEP = " || ".join(sql.sequence(f"c_{f}", MAX_LEN[f]) for f in DEEP_LAYOUT)
 )
 def deep(t: Tables):
     ids = dic.char_ids(field_dictionary(t))
-    rows = dataset_features(t.f_values, t.f_meta, ids)
+    rows = dataset_features(spread_small(t.f_values), t.f_meta, ids)
     return rows.select(
         *KEY,
         "column_value",
@@ -198,10 +198,11 @@ def deep(t: Tables):
       AND s.stage_column_name = j.stage_column_name WHERE split = 'test'""",
 )
 def feature_store(t: Tables):
-    split = split_stratified(clean_labels(t.f_meta), KEY)
+    splits, path = shared_dir(t.spark, "splits"), shared_dir(t.spark, "features")
+    write_splits(split_stratified(clean_labels(t.f_meta), KEY), splits)
+    split = t.spark.read.parquet(splits)
     ids = dic.char_ids(field_dictionary(t))
-    path = shared_dir(t.spark, "features")
-    write_features(dataset_features(t.f_values, split, ids, carry=["split"]), path)
+    write_features(dataset_features(spread_small(t.f_values), split, ids, carry=["split"]), path)
     return read_features(t.spark, path, "test").select("split", *KEY, "column_value")
 
 
@@ -225,4 +226,4 @@ HITS = {
 )
 def rule_hits(t: Tables):
     hits = value_hits(F.col("text"))
-    return t.f_rules.select("id", *[hits[kind].alias(name) for name, kind in HITS.items()])
+    return spread_small(t.f_rules).select("id", *[hits[kind].alias(name) for name, kind in HITS.items()])

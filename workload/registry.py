@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldwarden.session import tune
 from workload.relations import load, oracle_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,7 +19,7 @@ class Tables:
     """Relations of one data folder, by attribute: ``t.f_meta``."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir = tune(spark), sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
         return load(self.spark, self.sf_dir, name)

@@ -11,8 +11,9 @@ from fieldwarden.operators.balance import split_stratified
 from fieldwarden.operators.features import labels
 from fieldwarden.plans import learn
 from fieldwarden.plans.score import by_model, by_rules, score_columns, score_requests
-from fieldwarden.session import shared_dir
-from fieldwarden.sources.requests import explode_request_values, valid_requests, validate_requests
+from fieldwarden.session import shared_dir, spread_small
+from fieldwarden.sources.requests import explode_request_values, request_fields, validate_requests
+from fieldwarden.sources.store import write_splits
 from fieldwarden.streaming.score_stream import read_scores, stream_scores
 from workload import sql
 from workload.data_queries import rounded_report
@@ -44,7 +45,7 @@ VALIDATED = f"""
 
 @query("validate_requests", f"SELECT request_id, status, error_msg FROM ({VALIDATED})")
 def validate(t: Tables):
-    return validate_requests(t.f_requests).select("request_id", "status", "error_msg")
+    return validate_requests(spread_small(t.f_requests)).select("request_id", "status", "error_msg")
 
 
 EXPLODED = f"""
@@ -59,8 +60,8 @@ EXPLODED = f"""
 
 @query("explode_request_values", f"SELECT request_id, column_name, position, column_value FROM ({EXPLODED})")
 def exploded(t: Tables):
-    valid = valid_requests(validate_requests(t.f_requests), ["request_id"])
-    return explode_request_values(valid, ["request_id", "column_name"])
+    requests = request_fields(validate_requests(spread_small(t.f_requests)), ["request_id"])
+    return explode_request_values(requests, ["request_id", "column_name"])
 
 
 def rule_sql(value: str, *texts: str) -> str:
@@ -106,7 +107,7 @@ def flat(scores: DataFrame) -> DataFrame:
 
 @query("score_requests", SCORED)
 def scored_requests(t: Tables):
-    return flat(score_requests(t.f_requests, by_rules(), "request_id"))
+    return flat(score_requests(spread_small(t.f_requests), by_rules(), "request_id"))
 
 
 @query("score_stream", SCORED)
@@ -130,29 +131,43 @@ def scored_stream(t: Tables):
       round(n / total, 9) AS probability, CAST(total AS BIGINT) AS n_values FROM r WHERE r = 1""",
 )
 def scored_columns(t: Tables):
-    votes = score_columns(t.f_class_values, t.f_class_meta, by_rules(), position="column_value")
+    votes = score_columns(spread_small(t.f_class_values), t.f_class_meta, by_rules(), position="column_value")
     return votes.withColumn("probability", F.round("probability", 9))
 
 
-def split_meta(t: Tables, name: str) -> DataFrame:
-    """Columns of one split; all values of a column are in the same one."""
-    return split_stratified(t.f_class_meta, KEY).filter(F.col("split") == name).drop("split")
+def stored_split(t: Tables) -> str:
+    """Columns with their split, written once; all values of a column are in the same split."""
+    path = shared_dir(t.spark, "split")
+    write_splits(split_stratified(t.f_class_meta, KEY), path)
+    return path
 
 
-def trained(t: Tables):
-    return learn.train(learn.learning_rows(t.f_class_values, split_meta(t, "train")), max_iter=20)
+def split_meta(t: Tables, path: str, name: str) -> DataFrame:
+    return t.spark.read.parquet(path).filter(F.col("split") == name).drop("split")
+
+
+def encoded(t: Tables, path: str, name: str) -> DataFrame:
+    return learn.learning_rows(spread_small(t.f_class_values), split_meta(t, path, name))
+
+
+def trained(t: Tables, path: str):
+    return learn.train(encoded(t, path, "train"), max_iter=20)
 
 
 @query("train_predict")
 def train_predict(t: Tables):
-    test = learn.learning_rows(t.f_class_values, split_meta(t, "test"))
-    return rounded_report(learn.evaluate(trained(t), test))
+    path = stored_split(t)
+    return rounded_report(learn.evaluate(trained(t, path), encoded(t, path, "test")))
 
 
 @query("score_by_model")
 def scored_by_model(t: Tables):
-    meta = labels(split_meta(t, "test"))
+    path = stored_split(t)
     votes = score_columns(
-        t.f_class_values, meta, by_model(trained(t)), position="column_value", carry=["class_id"]
+        spread_small(t.f_class_values),
+        labels(split_meta(t, path, "test")),
+        by_model(trained(t, path)),
+        position="column_value",
+        carry=["class_id"],
     )
     return votes.withColumn("probability", F.round("probability", 6))
