@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # ---- Fixed values: table names left out (backups, dated copies, scratch) -----
+# found anywhere in the lower-case name; a leading dot asks for something before
 EXCLUDED_TABLES = [
-    ".+_bak_.*",
-    ".+_bak[0-9]+",
-    ".+_bak$",
-    ".+_bk$",
-    ".+_bk[0-9]+",
-    ".+[0-9]{8}.*",
+    "._bak_",
+    "._bak[0-9]",
+    "._bak$",
+    "._bk$",
+    "._bk[0-9]",
+    ".[0-9]{8}",
     "^temp_",
     "^tmp_",
     "^s__",
@@ -23,10 +24,8 @@ WELL_FORMED = "^[0-9a-zA-Z_]+$"
 
 def stage_tables(tables: DataFrame) -> DataFrame:
     """Names of active stage tables that are no backups or scratch tables."""
-    name = F.lower("table_name")
     kept = (F.col("database_name") == "stage") & (F.col("table_status") == "1")
-    for pattern in EXCLUDED_TABLES:
-        kept = kept & ~name.rlike(pattern)
+    kept = kept & ~F.lower("table_name").rlike("|".join(EXCLUDED_TABLES))
     return tables.filter(kept).select("table_name").orderBy("table_name")
 
 
