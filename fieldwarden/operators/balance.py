@@ -43,7 +43,7 @@ def clean_labels(meta: DataFrame) -> DataFrame:
 
 
 def undersample(
-    meta: DataFrame, majority: int, keys: list[str], seed: int = SEED, distinct_rows: bool = True
+    meta: DataFrame, majority: int, keys: list[str], seed: int = SEED, distinct_rows: bool = False
 ) -> DataFrame:
     """Clean columns with the insensitive ones cut to ``majority`` random rows."""
     few = take_sample(clean_insensitive(meta), majority, keys, seed, distinct_rows)
@@ -62,7 +62,7 @@ def split_stratified(
     train: float = 0.7,
     valid: float = 0.2,
     seed: int = SEED,
-    distinct_rows: bool = True,
+    distinct_rows: bool = False,
 ) -> DataFrame:
     """Three-way split by sensitive type, with a ``split`` column.
 
@@ -89,7 +89,7 @@ def split_stratified(
 
 
 def split_random(
-    df: DataFrame, test: float, keys: list[str], seed: int = SEED, distinct_rows: bool = True
+    df: DataFrame, test: float, keys: list[str], seed: int = SEED, distinct_rows: bool = False
 ) -> DataFrame:
     """Random two-way split with exactly ``ceil(test * n)`` test rows."""
 

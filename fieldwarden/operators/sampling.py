@@ -73,7 +73,7 @@ def sample_rows(df: DataFrame, size: int, keys: list[str], seed: int) -> DataFra
     if size <= SMALL_SAMPLE:
         hashed = df.withColumn("_h", seeded_hash(keys, seed))
         return hashed.orderBy("_h", *keys).limit(size).drop("_h")
-    return take_sample(df, size, keys, seed)
+    return take_sample(df, size, keys, seed, distinct_rows=True)
 
 
 def long_rows(

@@ -142,9 +142,12 @@ def cut_rows(
 
 
 def take_sample(
-    df: DataFrame, size: int, keys: list[str], seed: int, distinct_rows: bool = True
+    df: DataFrame, size: int, keys: list[str], seed: int, distinct_rows: bool = False
 ) -> DataFrame:
-    """Exactly ``size`` random rows, or all if there are fewer."""
+    """Exactly ``size`` random rows, or all if there are fewer.
+
+    ``distinct_rows`` promises unique keys, which saves counting the copies.
+    """
     if distinct_rows:
         cut = cut_rows(df, [], keys, [lambda n: F.lit(size)], seed)
         return cut.filter(F.col("_below_0") > 0).select(*df.columns)
@@ -179,7 +182,7 @@ def repeat_rows(df: DataFrame, times: Column, index: str = "_copy") -> DataFrame
 
 
 def row_positions(
-    df: DataFrame, keys: list[str], seed: int, distinct_rows: bool = True
+    df: DataFrame, keys: list[str], seed: int, distinct_rows: bool = False
 ) -> DataFrame:
     """Number all rows from 0 in the seeded random order, as ``_position``.
 
@@ -218,7 +221,7 @@ def batch_ids(
     batch_size: int,
     epochs: int = 1,
     seed: int = 0,
-    distinct_rows: bool = True,
+    distinct_rows: bool = False,
 ) -> DataFrame:
     """Mini-batches of ``batch_size`` rows, the last one short, for every epoch."""
     placed = row_positions(df, keys, seed, distinct_rows)

@@ -62,7 +62,9 @@ def score_requests(
     gathered list, inside the row.
     """
     checked = validate_requests(requests, body)
-    carried = [key, "status", "error_msg"]
+    # copies of a request are requests of their own: groups never span input rows
+    checked = checked.withColumn("_row", F.monotonically_increasing_id())
+    carried = [key, "_row", "status", "error_msg"]
     prepared = predictor.prepare(request_fields(checked, carried))
     values = explode_request_values(prepared, [*carried, predictor.carried], outer=True)
     predicted = predictor.predict(values.na.fill("", ["column_value"]))

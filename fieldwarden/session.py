@@ -18,6 +18,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32KB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # texts can be long; smaller batches bound the memory of the Python workers
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 

@@ -64,6 +64,12 @@ def test_scores(requests):
     assert all("label" not in t for t in texts if t["status"] == 301)
 
 
+def test_copies_of_a_request_are_scored_apart(spark):
+    copies = spark.createDataFrame([("same", json.dumps(BODY))] * 40, "request_id string, body string")
+    rows = score_requests(copies, by_rules(), "request_id").collect()
+    assert len(rows) == 40 and all(r.predictions == [4, 4, 7] for r in rows)
+
+
 def test_request_files(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps(BODY) + "\n{\n")
     checked = validate_requests(read_requests(spark, str(tmp_path)))

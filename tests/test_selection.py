@@ -48,7 +48,7 @@ def test_cut_splits_copies(spark):
     rows = [("same",)] * 500 + [(f"r{i}",) for i in range(1000)]
     df = spark.createDataFrame(rows, "k string")
     for size in [1, 400, 750, 1499, 1500, 2000]:
-        sample = take_sample(df, size, ["k"], 5, distinct_rows=False)
+        sample = take_sample(df, size, ["k"], 5)
         counts = {r.k: r["count"] for r in sample.groupBy("k").count().collect()}
         assert sum(counts.values()) == min(size, 1500)
         assert counts.get("same", 0) <= 500 and all(n == 1 for k, n in counts.items() if k != "same")
@@ -58,8 +58,9 @@ def test_hash_order_crosses_prefixes(spark, monkeypatch):
     """With one hex digit as prefix every bucket holds many rows, so the inner rank decides."""
     monkeypatch.setattr(selection, "PREFIX", 1)
     df = spark.range(2000).withColumnRenamed("id", "k")
-    got = {r.k for r in take_sample(df, 777, ["k"], 9).collect()}
-    assert got == set(sorted(range(2000), key=lambda k: order(9, k))[:777])
+    expected = set(sorted(range(2000), key=lambda k: order(9, k))[:777])
+    for distinct in [True, False]:
+        assert {r.k for r in take_sample(df, 777, ["k"], 9, distinct).collect()} == expected
 
 
 def test_repeat_rows(spark, monkeypatch):
@@ -71,10 +72,10 @@ def test_repeat_rows(spark, monkeypatch):
 
 def test_positions_are_a_permutation(spark):
     df = spark.range(1234).withColumnRenamed("id", "k")
-    got = {r.k: r._position for r in row_positions(df, ["k"], 1).collect()}
+    got = {r.k: r._position for r in row_positions(df, ["k"], 1, distinct_rows=True).collect()}
     assert got == {k: i for i, k in enumerate(sorted(range(1234), key=lambda k: order(1, k)))}
     copies = spark.createDataFrame([("x",)] * 300 + [("y",)] * 5, "k string")
-    places = sorted(r._position for r in row_positions(copies, ["k"], 1, distinct_rows=False).collect())
+    places = sorted(r._position for r in row_positions(copies, ["k"], 1).collect())
     assert places == list(range(305))
 
 
@@ -149,7 +150,7 @@ def test_random_split_size(spark):
     split = balance.split_random(df, 0.3, ["k"])
     assert split.filter("split = 'test'").count() == 31 and split.count() == 101
     copies = spark.createDataFrame([("x",)] * 101, "k string")
-    split = balance.split_random(copies, 0.3, ["k"], distinct_rows=False)
+    split = balance.split_random(copies, 0.3, ["k"])
     assert split.filter("split = 'test'").count() == 31 and split.count() == 101
 
 

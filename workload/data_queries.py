@@ -44,7 +44,7 @@ def clean_labels(t: Tables):
     WHERE column_is_sensitive = '1' OR r <= 300""",
 )
 def undersample(t: Tables):
-    return balance.undersample(t.f_meta, 300, KEY)
+    return balance.undersample(t.f_meta, 300, KEY, distinct_rows=True)
 
 
 SPLIT = f"""
@@ -57,7 +57,7 @@ SPLIT = f"""
 
 @query("split_stratified", SPLIT)
 def split_stratified(t: Tables):
-    return balance.split_stratified(balance.clean_labels(t.f_meta), KEY)
+    return balance.split_stratified(balance.clean_labels(t.f_meta), KEY, distinct_rows=True)
 
 
 @query(
@@ -65,7 +65,7 @@ def split_stratified(t: Tables):
     f"SELECT split, column_sensitive_type, count(*) AS n FROM ({SPLIT}) GROUP BY ALL",
 )
 def split_class_counts(t: Tables):
-    return balance.split_class_counts(balance.split_stratified(balance.clean_labels(t.f_meta), KEY))
+    return balance.split_class_counts(balance.split_stratified(balance.clean_labels(t.f_meta), KEY, distinct_rows=True))
 
 
 # rows that are copies of each other by the thousand
@@ -85,7 +85,7 @@ def split_class_counts(t: Tables):
 )
 def split_stratified_copies(t: Tables):
     rows = t.f_pred.select("actual", "predicted")
-    return balance.split_stratified(rows, ["actual", "predicted"], ["actual"], distinct_rows=False)
+    return balance.split_stratified(rows, ["actual", "predicted"], ["actual"])
 
 
 @query(
@@ -96,7 +96,7 @@ def split_stratified_copies(t: Tables):
 )
 def split_random(t: Tables):
     meta = balance.drop_unlabelled(t.f_meta)
-    return balance.split_random(meta, 0.3, KEY).select(*KEY, "split")
+    return balance.split_random(meta, 0.3, KEY, distinct_rows=True).select(*KEY, "split")
 
 
 @query(
@@ -119,7 +119,7 @@ def oversample(t: Tables):
     CROSS JOIN (SELECT unnest(range(2)) AS epoch) e""",
 )
 def batches(t: Tables):
-    return batch_ids(t.f_pred, ["pos"], 128, epochs=2, seed=5)
+    return batch_ids(t.f_pred, ["pos"], 128, epochs=2, seed=5, distinct_rows=True)
 
 
 @query(
@@ -129,7 +129,7 @@ def batches(t: Tables):
 )
 def batches_of_copies(t: Tables):
     rows = t.f_pred.select("actual", "predicted")
-    return batch_ids(rows, ["actual", "predicted"], 128, seed=5, distinct_rows=False)
+    return batch_ids(rows, ["actual", "predicted"], 128, seed=5)
 
 
 def lookup(values: list[str], name: str, default: str = "-1") -> str:

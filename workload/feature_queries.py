@@ -199,7 +199,7 @@ def deep(t: Tables):
 )
 def feature_store(t: Tables):
     splits, path = shared_dir(t.spark, "splits"), shared_dir(t.spark, "features")
-    write_splits(split_stratified(clean_labels(t.f_meta), KEY), splits)
+    write_splits(split_stratified(clean_labels(t.f_meta), KEY, distinct_rows=True), splits)
     split = t.spark.read.parquet(splits)
     ids = dic.char_ids(field_dictionary(t))
     write_features(dataset_features(spread_small(t.f_values), split, ids, carry=["split"]), path)

@@ -138,7 +138,7 @@ def scored_columns(t: Tables):
 def stored_split(t: Tables) -> str:
     """Columns with their split, written once; all values of a column are in the same split."""
     path = shared_dir(t.spark, "split")
-    write_splits(split_stratified(t.f_class_meta, KEY), path)
+    write_splits(split_stratified(t.f_class_meta, KEY, distinct_rows=True), path)
     return path
 
 
