@@ -48,12 +48,15 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - start
 
-    run("value_with_meta")  # start the workers
-    seconds = {name: round(run(name), 3) for name in names}
+    # the first run pays for code generation and compilation; the second is reported
+    seconds = {}
+    for name in names:
+        run(name)
+        seconds[name] = round(run(name), 3)
     print(
         json.dumps(
             {
-                "metric": "headline queries, total wall time",
+                "metric": "headline queries, total wall time of warm runs",
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,

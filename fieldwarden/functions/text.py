@@ -101,7 +101,7 @@ def char_class(ranges: list[tuple[int, int]]) -> str:
 HAN = char_class(HAN_RANGES)
 DROPPED_RUN = f"[^{KEPT_ASCII}{HAN}]+"
 ALL_NORMAL = f"^[{char_class(NORMAL_RANGES)}]*+$"
-TOKEN = f"([0-9]|[A-Z]+|[(),!?'\"]|[{HAN}])"
+TOKEN = f"([0-9]|[a-z]+|[(),!?'\"]|[{HAN}])"
 
 # stand-ins inside a padded text; clean text holds no control characters
 EOS_MARK, PAD_MARK = "\x01", "\x02"
@@ -147,9 +147,7 @@ def split_num(text: Column, num_to_digits: bool = True) -> Column:
 
 def tokenize(cleaned: Column) -> Column:
     """Tokens of a cleaned text: digits, lower-case words, punctuation, ideographs."""
-    return F.transform(
-        F.regexp_extract_all(cleaned, F.lit(TOKEN), F.lit(1)), lambda t: F.lower(t)
-    )
+    return F.regexp_extract_all(F.lower(cleaned), F.lit(TOKEN), F.lit(1))
 
 
 def characters(cleaned: Column) -> Column:

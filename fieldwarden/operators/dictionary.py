@@ -83,7 +83,8 @@ def word_dictionary(counts: DataFrame) -> DataFrame:
 
     Words are numbered within (frequency, hash prefix); the offsets come from
     the counts of these groups. Distinct frequencies grow with the square root
-    of the text at most, so the one global window stays small.
+    of the text at most, so the one global window stays small. The counts are
+    read three times: hand in a stored table.
     """
     words = counts.withColumn("_h", F.md5("token")).withColumn(
         "_bucket", F.substring("_h", 1, PREFIX)

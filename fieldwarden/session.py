@@ -66,6 +66,16 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return os.path.join(root, "fieldwarden", f"{purpose}-{uuid.uuid4().hex}")
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a result that several steps read, and read it back.
+
+    Cuts the lineage too: a lost executor costs a read, not the whole job again.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 # inputs below this size may be spread before heavy work per row
 SMALL_INPUT = 256 << 20
 BYTES_PER_TASK = 64 << 10

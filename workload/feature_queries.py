@@ -19,7 +19,7 @@ from fieldwarden.operators import dictionary as dic
 from fieldwarden.operators.balance import clean_labels, split_stratified
 from fieldwarden.operators.features import dataset_features, wide_features
 from fieldwarden.operators.joining import attach
-from fieldwarden.session import shared_dir, spread_small
+from fieldwarden.session import shared_dir, spread_small, stored
 from fieldwarden.sources.store import build_or_reuse_dictionary, read_features, write_features, write_splits
 from workload import sql
 from workload.catalog_queries import JOINED
@@ -106,7 +106,7 @@ def char_dictionary(t: Tables):
 
 @query("word_dictionary", ranked(WORDS, "md5(token), token", "BIGINT"))
 def word_dictionary(t: Tables):
-    return dic.word_dictionary(dic.word_counts(spread_small(t.f_text)))
+    return dic.word_dictionary(stored(dic.word_counts(spread_small(t.f_text)), "word-counts"))
 
 
 LOOKUP = f"(SELECT map(list(token), list(id)) AS m FROM ({DICTIONARY}) WHERE id > 2)"
@@ -118,7 +118,7 @@ def joined_text(numbers: Column) -> Column:
 
 def millionths(numbers: Column) -> Column:
     """Whole numbers print alike in every engine."""
-    return joined_text(F.transform(numbers, lambda x: F.round(x * 1000000).cast("long")))
+    return joined_text(F.transform(numbers, lambda x: (x * 1000000 + 0.5).cast("long")))
 
 
 @query(
