@@ -48,11 +48,16 @@ def char_counts(texts: DataFrame, text: str = "text", weight: Column | None = No
     return count_tokens(texts, characters(cleaned), weight)
 
 
-def word_counts(texts: DataFrame, text: str = "text", weight: Column | None = None) -> DataFrame:
+def word_counts(
+    texts: DataFrame,
+    text: str = "text",
+    weight: Column | None = None,
+    lexicon: list[str] | None = None,
+) -> DataFrame:
     """Frequency of every token of the cleaned texts."""
     cleaned = clean_text(F.coalesce(F.col(text), F.lit("")))
     weight = F.lit(1).cast("long") if weight is None else weight
-    return count_tokens(texts, tokenize(cleaned), weight)
+    return count_tokens(texts, tokenize(cleaned, lexicon), weight)
 
 
 def special_tokens(counts: DataFrame) -> DataFrame:

@@ -92,7 +92,8 @@ def score_columns(
     """One vote per column over a whole catalogue of values.
 
     Columns may hold any number of values: only counts are shuffled after the
-    join. Ties go to the prediction met first in the order of ``position``.
+    join. Ties go to the prediction met first in the order of ``position``, a
+    number (text would turn the hash aggregation into a sort).
     """
     carry = carry or []
     prepared = predictor.prepare(meta.withColumnsRenamed(META_ALIASES))

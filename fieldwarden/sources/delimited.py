@@ -11,7 +11,7 @@ from fieldwarden.functions.vocab import META_FIELDS, VALUE_FIELDS
 # ---- Fixed values: cells that stand for a missing value ---------------------
 NA_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
-    "1.#QNAN", "N/A", "NA", "NULL", "NaN", "n/a", "nan", "null", "None", "<NA>",
+    "1.#QNAN", "N/A", "NA", "NULL", "NaN", "n/a", "nan", "null",
 ]
 
 QUOTED = r'"(?:[^"]|"")*"'

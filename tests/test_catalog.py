@@ -57,6 +57,34 @@ def test_hot_join_key_keeps_all_rows(spark):
     assert value_with_meta(values, meta).count() == 5000
 
 
+def test_hot_join_key_is_split_at_run_time(spark):
+    """Beyond the broadcast size a hot column is spread over several tasks."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+        "spark.sql.shuffle.partitions": "40",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    values = spark.range(0, 60000, 1, 6).select(
+        F.lit("T").alias(KEY[0]),
+        F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("C"), "id")).alias(KEY[1]),
+        F.md5(F.col("id").cast("string")).alias("column_value"),
+    )
+    meta = values.select(*KEY).distinct().withColumn("column_comment", F.lit("x"))
+    joined = value_with_meta(values, meta)
+    try:
+        assert joined.agg(F.count("column_value")).first()[0] == 60000
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_dictionaries(spark):
     texts = spark.createDataFrame([("B A", 2), ("A", 1), ("C", 2)], "t string, n long")
     counts = count_tokens(texts, F.split("t", ""), F.col("n"))

@@ -109,7 +109,7 @@ def test_best_model_is_kept_and_beats_the_majority(spark, generated, tmp_path):
     report = {r["class"]: r for r in learn.evaluate(load_model(spark, path), rows["test"]).collect()}
     assert report["AVG / TOTAL"].f1 > 0.8
     votes = score_columns(
-        t.f_class_values, labels(parts["test"]), by_model(model), position="column_value", carry=["class_id"]
+        t.f_class_values, labels(parts["test"]), by_model(model), position="row_id", carry=["class_id"]
     )
     share = votes.agg(F.avg((F.col("label") == F.col("class_id")).cast("int"))).first()[0]
     assert share > 0.9

@@ -122,16 +122,16 @@ def scored_stream(t: Tables):
 @query(
     "score_columns",
     f"""WITH p AS (SELECT v.stage_table_name, v.stage_column_name,
-        {rule_sql('column_value', 'column_name', 'column_comment')} AS prediction, v.column_value
+        {rule_sql('column_value', 'column_name', 'column_comment')} AS prediction, v.row_id
       FROM @f_class_values@ v JOIN @f_class_meta@ m USING (stage_table_name, stage_column_name)),
-    n AS (SELECT stage_table_name, stage_column_name, prediction, count(*) AS n, min(column_value) AS first FROM p GROUP BY ALL),
+    n AS (SELECT stage_table_name, stage_column_name, prediction, count(*) AS n, min(row_id) AS first FROM p GROUP BY ALL),
     r AS (SELECT *, sum(n) OVER w AS total, row_number() OVER (PARTITION BY stage_table_name, stage_column_name
         ORDER BY n DESC, first) AS r FROM n WINDOW w AS (PARTITION BY stage_table_name, stage_column_name))
     SELECT stage_table_name, stage_column_name, CAST(prediction AS INT) AS label, {sql.text_list(CLASSES)}[prediction + 1] AS raw_label,
       round(n / total, 9) AS probability, CAST(total AS BIGINT) AS n_values FROM r WHERE r = 1""",
 )
 def scored_columns(t: Tables):
-    votes = score_columns(spread_small(t.f_class_values), t.f_class_meta, by_rules(), position="column_value")
+    votes = score_columns(spread_small(t.f_class_values), t.f_class_meta, by_rules(), position="row_id")
     return votes.withColumn("probability", F.round("probability", 9))
 
 
@@ -167,7 +167,7 @@ def scored_by_model(t: Tables):
         spread_small(t.f_class_values),
         labels(split_meta(t, path, "test")),
         by_model(trained(t, path)),
-        position="column_value",
+        position="row_id",
         carry=["class_id"],
     )
     return votes.withColumn("probability", F.round("probability", 6))
