@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 
 from fieldwarden.functions.crypto import decrypt
 from fieldwarden.functions.vocab import KEY
-from fieldwarden.operators.selection import seeded_hash, take_sample
+from fieldwarden.operators.selection import (
+    cut_rows,
+    repeat_rows,
+    seeded_hash,
+    take_sample,
+    with_copies,
+)
 
 # top-k per group and top-k stay on the map side up to this many rows
 SMALL_SAMPLE = 1000
@@ -122,14 +128,19 @@ def sample_values(
 
     With row keys every row is equally likely; ``distinct`` draws from the
     distinct values, which suits scoring. Each map task passes on ``size`` rows
-    per column at most, so a huge column is no hot group.
+    per column at most, so a huge column is no hot group; larger samples cut
+    the hash order of each column instead.
     """
-    if size > SMALL_SAMPLE:
-        raise ValueError(f"up to {SMALL_SAMPLE} values per column")
     present = values.filter(F.col("column_value").isNotNull())
     if distinct:
         present = present.select(*by, "column_value").distinct()
     order = ["column_value", *(row_keys or [])] if not distinct else ["column_value"]
+    if size > SMALL_SAMPLE:
+        unique = bool(distinct or row_keys)
+        rows = present if unique else with_copies(present)
+        copies = None if unique else "_copies"
+        cut = cut_rows(rows, by, order, [lambda n: F.lit(size)], seed, copies)
+        return repeat_rows(cut, F.col("_below_0")).select(*present.columns)
     hashed = present.withColumn("_h", seeded_hash(order, seed))
     ranked = Window.partitionBy(*by).orderBy("_h", *order)
     return (

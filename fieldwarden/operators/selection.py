@@ -64,12 +64,17 @@ def cut_rows(
 
     Each cut maps the size of a stratum to a row count; cuts must not decrease.
     Adds ``_below_0, _below_1, ...``: how many copies of the row lie before the
-    cut (0 or 1 unless ``copies`` names a column of multiplicities).
+    cut (0 or 1 unless ``copies`` names a column of multiplicities). Without
+    multiplicities the keys must be unique; with them, rows that share their
+    keys are told apart by all their columns.
     The input is scanned three times, twice for the key columns alone.
     """
     weight = F.col(copies) if copies else F.lit(1)
-    rows = df.withColumns({"_h": seeded_hash(keys, seed)})
-    rows = rows.withColumn("_bucket", F.substring("_h", 1, PREFIX))
+    place = seeded_hash(keys, seed)
+    others = [c for c in df.columns if c != copies and c not in keys]
+    if copies and others:
+        place = F.concat(place, seeded_hash(others, seed))
+    rows = df.withColumn("_h", place).withColumn("_bucket", F.substring("_h", 1, PREFIX))
     narrow = rows.select(*strata, "_h", "_bucket", weight.cast("long").alias("_n"))
 
     # at most 65,536 rows per stratum from here on

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import reduce
+from itertools import groupby
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
@@ -17,13 +18,29 @@ from fieldwarden.operators.sampling import (
 )
 from fieldwarden.sources.store import write_training_rows
 
-Registry = Mapping[str, Mapping[str, str | None]]
+Columns = Mapping[str, str | None]
+Registry = Mapping[str, Columns] | Iterable[tuple[str, Columns]]
+Keys = Mapping[str, list[str]]
+
+
+def iter_registry(columns: DataFrame) -> Iterator[tuple[str, dict[str, str | None]]]:
+    """Tables and their columns from the long registry, one table at a time.
+
+    Plans are made per table, so the driver sees the registry once, but never
+    holds more of it than a partition.
+    """
+    rows = columns.orderBy("table_name", "column_name").toLocalIterator()
+    for table, group in groupby(rows, key=lambda row: row.table_name):
+        yield table, {
+            row.column_name: (row.column_sensitive_type or "") if row.column_is_sensitive == "1" else None
+            for row in group
+        }
 
 
 def sampled_table(
     df: DataFrame,
     table: str,
-    columns: Mapping[str, str | None],
+    columns: Columns,
     keys: list[str],
     size: int,
     day: str | None = None,
@@ -45,20 +62,25 @@ def sampled_table(
 
 
 def table_plans(
-    open_table: Callable[[str], DataFrame], registry: Registry, keys: Mapping[str, list[str]], **options
+    open_table: Callable[[str], DataFrame], registry: Registry, keys: Keys, **options
 ) -> Iterator[tuple[str, DataFrame | None]]:
-    """A plan per registered table with columns, or None where it cannot be read."""
-    for table, columns in registry.items():
+    """A plan per registered table with columns, or None where it cannot be read.
+
+    Tables without known keys are sampled by the hash of their whole rows.
+    """
+    pairs = registry.items() if isinstance(registry, Mapping) else registry
+    for table, columns in pairs:
         if not columns:
             continue
         try:
-            yield table, sampled_table(open_table(table), table, columns, keys[table], **options)
+            df = open_table(table)
+            yield table, sampled_table(df, table, columns, keys.get(table, df.columns), **options)
         except AnalysisException:
             yield table, None
 
 
 def training_rows(
-    open_table: Callable[[str], DataFrame], registry: Registry, keys: Mapping[str, list[str]], **options
+    open_table: Callable[[str], DataFrame], registry: Registry, keys: Keys, **options
 ) -> DataFrame:
     """Training rows of all readable tables in one plan."""
     frames = [df for _, df in table_plans(open_table, registry, keys, **options) if df is not None]
@@ -68,7 +90,7 @@ def training_rows(
 def write_all(
     open_table: Callable[[str], DataFrame],
     registry: Registry,
-    keys: Mapping[str, list[str]],
+    keys: Keys,
     path: str,
     tables_per_job: int = 50,
     **options,

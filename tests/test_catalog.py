@@ -7,7 +7,7 @@ from fieldwarden.operators import catalog
 from fieldwarden.operators.dictionary import char_dictionary, char_ids, count_tokens, word_dictionary
 from fieldwarden.operators.joining import value_with_meta
 from fieldwarden.operators.sampling import decryptable_rows
-from fieldwarden.plans.training_data import training_rows, write_all
+from fieldwarden.plans.training_data import iter_registry, training_rows, write_all
 
 
 def test_excluded_tables(spark):
@@ -124,6 +124,23 @@ def test_training_rows_from_encrypted_tables(spark, tmp_path):
     assert spark.read.parquet(path).count() == len(expected)
 
 
+def test_registry_drives_the_tables(spark):
+    long = spark.createDataFrame(
+        [("PLAIN2", "NOTE", "0", None), ("PLAIN2", "ID", "1", "卡号"), ("GONE", "X", "0", None)],
+        "table_name string, column_name string, column_is_sensitive string, column_sensitive_type string",
+    )
+    spark.createDataFrame([(7, "n"), (8, "m")], "id int, note string").createOrReplaceTempView("plain2")
+    pairs = dict(iter_registry(long))
+    assert pairs == {"GONE": {"X": None}, "PLAIN2": {"ID": "卡号", "NOTE": None}}
+    rows = training_rows(spark.table, iter_registry(long), {}, size=100)
+    assert {tuple(r) for r in rows.collect()} == {
+        ("plain2", "id", "7", "1", "卡号"),
+        ("plain2", "id", "8", "1", "卡号"),
+        ("plain2", "note", "n", "0", "0"),
+        ("plain2", "note", "m", "0", "0"),
+    }
+
+
 def test_decryption_needs_the_right_key(spark):
     df = spark.createDataFrame([("secret",)], "v string").withColumn("v", encrypt(F.col("v"), KEY_TEXT))
     assert decryptable_rows(df, ["v"], KEY_TEXT).count() == 1

@@ -109,6 +109,18 @@ def test_sample_values_of_a_hot_column(spark):
     assert distinct.filter("stage_column_name = 'HOT'").count() == 50
 
 
+def test_large_value_samples(spark, monkeypatch):
+    rows = [("T", "HOT", f"v{i % 50}", i) for i in range(900)] + [("T", "C", f"x{i}", i) for i in range(30)]
+    df = spark.createDataFrame(rows, "stage_table_name string, stage_column_name string, column_value string, id int")
+    options = [{"row_keys": ["id"]}, {"distinct": True}, {}]
+    small = [sampling.sample_values(df, 40, 1, **o).select(*KEY, "column_value") for o in options]
+    small = [s.collect() for s in small]
+    monkeypatch.setattr(sampling, "SMALL_SAMPLE", 5)
+    for rows, o in zip(small, options, strict=True):
+        large = sampling.sample_values(df, 40, 1, **o).select(*KEY, "column_value").collect()
+        assert sorted(map(tuple, large)) == sorted(map(tuple, rows))
+
+
 def test_quoting():
     assert [sampling.needs_quotes(n) for n in ["_a", "d:x", "end", "plain"]] == [True, True, True, False]
 

@@ -118,7 +118,9 @@ def joined_text(numbers: Column) -> Column:
 
 def millionths(numbers: Column) -> Column:
     """Whole numbers print alike in every engine."""
-    return joined_text(F.transform(numbers, lambda x: (x * 1000000 + 0.5).cast("long")))
+    return F.array_join(
+        F.transform(numbers, lambda x: (x * 1000000 + 0.5).cast("long").cast("string")), ","
+    )
 
 
 @query(
