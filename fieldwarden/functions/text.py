@@ -108,15 +108,22 @@ TOKEN = f"([0-9]|[a-z]+|[(),!?'\"]|[{HAN}])"
 EOS_MARK, PAD_MARK = "\x01", "\x02"
 
 
-@F.arrow_udf(T.StringType())
-def nfkc(text: pa.Array) -> pa.Array:
-    # pyarrow's own normalisation leaves marks uncomposed, hence the standard library
-    if text.null_count == len(text):
-        return text
-    return pa.array(
-        [None if s is None else unicodedata.normalize("NFKC", s) for s in text.to_pylist()],
-        pa.string(),
-    )
+def normaliser():
+    """The normalising function; nested, so it travels whole and executors need no copy of this package."""
+
+    def nfkc(text: pa.Array) -> pa.Array:
+        # pyarrow's own normalisation leaves marks uncomposed, hence the standard library
+        if text.null_count == len(text):
+            return text
+        return pa.array(
+            [None if s is None else unicodedata.normalize("NFKC", s) for s in text.to_pylist()],
+            pa.string(),
+        )
+
+    return F.arrow_udf(nfkc, T.StringType())
+
+
+nfkc = normaliser()
 
 
 def strip(text: Column) -> Column:

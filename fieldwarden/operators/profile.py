@@ -50,7 +50,11 @@ def category_share(df: DataFrame, category: str, keep_null: bool = False) -> Dat
 
 
 def with_shares(counts: DataFrame) -> DataFrame:
-    """Shares of (category, n) rows, of which there is one per category."""
+    """Shares of (category, n) rows, of which there is one per category.
+
+    The total is a scalar; only the running total needs an order over all
+    categories, and it sees one row for each.
+    """
     total = counts.agg(F.sum("n")).scalar()
     upto = F.sum("n").over(Window.orderBy(F.col("category").asc_nulls_last()))
     shared = counts.withColumns({"_total": total, "_upto": upto})

@@ -1,8 +1,12 @@
+import base64
 import re
+import subprocess
+import sys
 import unicodedata
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from fieldwarden.functions import text as tx
@@ -44,6 +48,19 @@ def test_normal_ranges_are_left_alone():
             assert unicodedata.combining(char) == 0 and point not in composing, hex(point)
 
 
+def test_normaliser_needs_no_package_on_the_executors():
+    code = base64.b64encode(cloudpickle.dumps(tx.nfkc.func)).decode()
+    script = (
+        "import base64, pickle, pyarrow as pa\n"
+        f"f = pickle.loads(base64.b64decode('{code}'))\n"
+        "print(f(pa.array(['\\uff21', None])).to_pylist())"
+    )
+    bare = subprocess.run(
+        [sys.executable, "-c", script], capture_output=True, text=True, cwd="/", check=True
+    )
+    assert bare.stdout.strip() == "['A', None]"
+
+
 def test_strip_equals_python(spark):
     texts = ["　 a ", "\x1c\x85b c ", "", " \t\n", "中​"]
     df = column(spark, texts)
