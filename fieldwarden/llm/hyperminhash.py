@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,14 +42,39 @@ def registers(shingles: np.ndarray, bounds: np.ndarray, n: int = REGISTERS) -> n
     return packed.reshape(-1, n)
 
 
-def band_keys(regs: np.ndarray, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """The registers of each band as one number, mixed with the band's; empty bands are False in the mask."""
-    bands = regs.reshape(len(regs), -1, rows).astype(np.uint64)
-    keys = np.zeros(bands.shape[:2], np.uint64)
+#: Where an empty register looks for a value, try by try; the same for all sets.
+TRIES = 4 * REGISTERS
+BORROW = (mixed(np.arange(1, TRIES * REGISTERS + 1, dtype=np.uint64)) % np.uint64(REGISTERS)).astype(np.int64)
+BORROW = BORROW.reshape(TRIES, REGISTERS)
+
+
+def filled_up(regs: np.ndarray) -> np.ndarray:
+    """Registers whose empty ones have borrowed from others of the set, the same way in every set.
+
+    Small sets leave most registers empty; a band of one value and three gaps
+    would match all sets that share a single shingle.
+    """
+    full = regs.copy()
+    rows = np.flatnonzero((full == EMPTY).any(axis=1) & (full != EMPTY).any(axis=1))
+    for source in BORROW:
+        if not len(rows):
+            break
+        part = full[rows]
+        full[rows] = np.where(part == EMPTY, regs[rows][:, source], part)
+        rows = rows[(full[rows] == EMPTY).any(axis=1)]
+    for row in rows.tolist():
+        full[row][full[row] == EMPTY] = regs[row].min()
+    return full
+
+
+def band_keys(regs: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """The registers of each band as one number, mixed with the number of the band."""
+    parts = filled_up(regs).reshape(len(regs), -1, rows).astype(np.uint64)
+    keys = np.zeros(parts.shape[:2], np.uint64)
     for k in range(rows):
-        keys = keys << np.uint64(16) | bands[:, :, k]
-    number = np.arange(1, bands.shape[1] + 1, dtype=np.uint64) * SALT
-    return mixed(keys ^ mixed(number)[None, :]), (bands != EMPTY).any(axis=2)
+        keys = keys << np.uint64(16) | parts[:, :, k]
+    number = np.arange(1, parts.shape[1] + 1, dtype=np.uint64) * SALT
+    return mixed(keys ^ mixed(number)[None, :])
 
 
 def expected_collisions(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -76,6 +100,8 @@ def promising(regs_a, regs_b, size_a, size_b) -> np.ndarray:
 
 
 def as_registers(column: pa.Array) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     data = b"".join(column.to_pylist())
     return np.frombuffer(data, "<u2").reshape(-1, REGISTERS)
 
@@ -106,12 +132,12 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def bands(sets: DataFrame) -> DataFrame:
-    """``key, doc`` for each band of a document that is not empty."""
+    """``key, doc`` for each band of a document with shingles."""
 
     def run(batch):
-        keys, filled = band_keys(as_registers(batch.column("registers")))
-        rows = np.repeat(np.arange(len(keys)), filled.sum(axis=1))
-        columns = [pa.array(keys[filled].view(np.int64)), batch.column("doc").take(pa.array(rows))]
+        keys = band_keys(as_registers(batch.column("registers")))
+        rows = np.repeat(np.arange(len(keys)), keys.shape[1])
+        columns = [pa.array(keys.reshape(-1).view(np.int64)), batch.column("doc").take(pa.array(rows))]
         return pa.RecordBatch.from_arrays(columns, ["key", "doc"])
 
     return each_batch(sets.select("doc", "registers"), run, "key long, doc long")
@@ -158,27 +184,30 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(similar(common, F.size("xa"), F.size("xb"))).select("a", "b")
 
 
-def links_in_block(rows) -> list[tuple[int, int]]:
+def links_in_block(rows: pa.Table) -> pa.Table:
     """Confirmed links that join different components, among the documents of one block."""
-    n = len(rows)
-    regs = as_registers(pa.array(rows["registers"]))
-    size = rows["n_shingles"].to_numpy(float)
-    part = rows["component"].to_numpy().copy()
-    sets, docs, found = rows["shingles"].to_list(), rows["doc"].to_list(), []
-    for i in range(n - 1):
-        rest = np.arange(i + 1, n)
-        rest = rest[part[rest] != part[i]]
-        if not len(rest):
-            continue
-        good = promising(regs[i][None, :], regs[rest], np.full(len(rest), size[i]), size[rest])
-        for j in rest[good].tolist():
-            if part[j] == part[i]:
+    rows = rows.combine_chunks()
+    regs = as_registers(rows.column("registers"))
+    size, part, docs = (rows.column(c).to_numpy() for c in ("n_shingles", "component", "doc"))
+    shingles = rows.column("shingles").chunk(0)
+    values, cuts = shingles.values.to_numpy(), shingles.offsets.to_numpy()
+    part, found = part.copy(), []
+    strip = max(1, 4_000_000 // (REGISTERS * len(docs)))  # rows compared with all others at a time
+    for low in range(0, len(docs), strip):
+        here = np.arange(low, min(low + strip, len(docs)))
+        good = promising(regs[here][:, None, :], regs[None, :, :], size[here][:, None], size[None, :])
+        good &= (part[here][:, None] != part[None, :]) & (here[:, None] < np.arange(len(docs))[None, :])
+        for i, j in zip(*(x.tolist() for x in np.nonzero(good)), strict=True):
+            i += low
+            if part[i] == part[j]:
                 continue
-            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * common >= SIMILAR * (len(sets[i]) + len(sets[j]) - common):
+            a, b = (values[cuts[k] : cuts[k + 1]] for k in (i, j))
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            if 100 * common >= SIMILAR * (len(a) + len(b) - common):
                 found.append((docs[i], docs[j]))
                 part[part == part[j]] = part[i]
-    return found
+    columns = [pa.array([int(f[k]) for f in found], pa.int64()) for k in (0, 1)]
+    return pa.table(columns, ["a", "b"])
 
 
 def links_across(members: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
@@ -216,10 +245,8 @@ def links_across(members: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFr
         "key", "doc", "component", "_p.i", "_p.j"
     )
 
-    def run(group):
-        return pd.DataFrame(links_in_block(group.reset_index(drop=True)), columns=["a", "b"], dtype="int64")
-
-    return spread.join(whole, "doc").groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+    spread = spread.join(whole, "doc").select(*spread.columns, "n_shingles", "registers", "shingles")
+    return spread.groupBy("key", "i", "j").applyInArrow(links_in_block, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
