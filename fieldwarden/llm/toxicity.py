@@ -18,9 +18,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from fieldwarden.llm.common import each_batch, prepared, unpacked
 
 THRESHOLD = 0.3
-TOXIC_SAMPLE = 3000  # labelled documents the model is fitted on, of each label at most
-ORDINARY_SAMPLE = 6000
-SAMPLE_CHARS = 16384  # of each of these at most
+TOXIC_SAMPLE = 2000  # labelled documents the model is fitted on, of each label at most
+ORDINARY_SAMPLE = 4000
+SAMPLE_CHARS = 8192  # of each of these at most
 WORDS = 12  # words of a window
 WINDOW_BYTES = 256  # of a window at most; longer ones are cut
 ORDINARY_BYTES = 100_000
@@ -122,17 +122,18 @@ def marks(rows: list[tuple[str, int]]) -> set[str]:
     Near copies count once, or the words of one text that was copied often
     would be marks.
     """
-    toxic, ordinary = ([t.lower().split() for t, y in rows if y == k] for k in (1, 0))
+    toxic = [t for t, y in rows if y]
     kin: dict = {}
-    for words in toxic:
-        own = family(words)
-        for w in set(words):
-            kin.setdefault(w, set()).add(own)
-    used = {w: len(f) for w, f in kin.items()}
-    usual = Counter(w for words in ordinary for w in set(words))
-    n_toxic, n_ordinary = max(len(toxic), 1), max(len(ordinary), 1)
+    for k, text in enumerate(toxic):
+        kin.setdefault(family(text.lower().split()), []).append(k)
+    used: Counter = Counter()
+    for members in kin.values():
+        used.update({w for k in members for w in toxic[k].lower().split()})
+    n_toxic, n_ordinary = max(len(toxic), 1), max(len(rows) - len(toxic), 1)
     least = 3 + 0.01 * n_toxic
-    return {w for w, n in used.items() if n >= least and n / n_toxic >= 5 * (usual[w] + 1) / n_ordinary}
+    frequent = {w: n for w, n in used.items() if n >= least}
+    usual = Counter(w for t, y in rows if not y for w in set(t.lower().split()) if w in frequent)
+    return {w for w, n in frequent.items() if n / n_toxic >= 5 * (usual[w] + 1) / n_ordinary}
 
 
 def dictionaries(rows: list[tuple[str, int]]) -> Model:
@@ -149,8 +150,11 @@ def dictionaries(rows: list[tuple[str, int]]) -> Model:
     base = dictionary(plain[:20000], ORDINARY_BYTES) or b"        "
     room = 256 + max(256, ROOM * sum(len(w.encode()) + 1 for w in known))
     extra = dictionary([m for m in toxic if len(m) >= 8], room, k=32, d=6)
-    head = 256 if extra[:4] == TRAINED else 0  # tables in front of a trained dictionary's text
-    return Model(base, base + extra[head:], np.zeros(0), np.ones(0), np.zeros(1))
+    if extra[:4] == TRAINED:
+        extra = extra[256:]  # tables stand in front of the text
+    if sum(len(w) for w in known) > len(extra):  # a few marks, or none, left no room beside the tables
+        extra = " ".join(["", *sorted(known), ""]).encode()
+    return Model(base, base + extra, np.zeros(0), np.ones(0), np.zeros(1))
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
@@ -189,7 +193,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     def first(toxic: int, n: int) -> DataFrame:
         return known.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
-    # at most 9,000 rows
+    # at most 6,000 rows
     sample = first(1, TOXIC_SAMPLE).unionByName(first(0, ORDINARY_SAMPLE))
     texts = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     rows = texts.join(F.broadcast(sample), "doc_id").filter(F.col("text").isNotNull())
