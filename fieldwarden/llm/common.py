@@ -179,7 +179,7 @@ def shingle_sets(raw, bounds, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     factor = np.full(size, np.uint64(0x9FB21C651E98DF25)).cumprod()
     n = len(hashes)
     rolled = np.zeros(n, np.uint64)
-    for k in range(size):
+    for k in range(min(size, n)):
         rolled[: n - k] += hashes[k:] * factor[k]
     place = np.arange(n) - words.bounds[words.doc]
     whole = place <= counts[words.doc] - size
