@@ -4,8 +4,9 @@ from fieldwarden.session import local_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4, app="tests")
+def spark(tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("shared"))
+    session = local_session(4, app="tests", **{"spark.checkpoint.dir": folder})
     yield session
     session.stop()
 
