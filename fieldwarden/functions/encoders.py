@@ -71,18 +71,21 @@ def sensitive_type_class(label: Column, legacy: bool = False) -> Column:
     return (F.array_position(strings(classes), named) - 1).cast("int")
 
 
-def class_name(class_id: Column) -> Column:
-    return F.get(strings(CLASSES), class_id)
+def class_name(class_id: Column, names: list[str] = CLASSES) -> Column:
+    return F.get(strings(names), class_id)
 
 
 def class_weights(
     classes: int, ratio: float = CLASS_WEIGHT_RATIO, given: list[float] | None = None
 ) -> list[float]:
-    """Loss weight per class: all but the last (insensitive) weigh ``ratio`` times more."""
-    if given:
-        return list(given)
-    base = 1.0 / (1.0 + ratio * (classes - 1))
-    return [ratio * base] * (classes - 1) + [base]
+    """Loss weights that sum to 1: the last class (insensitive) counts once, each other ``ratio`` times."""
+    counts = [float(ratio) if c < classes - 1 else 1.0 for c in range(classes)]
+    return list(given) if given else [c / sum(counts) for c in counts]
+
+
+def binary_weights(ratio: float = CLASS_WEIGHT_RATIO) -> list[float]:
+    """The same for the sensitivity flag, where 1 is the rare class."""
+    return class_weights(2, ratio)[::-1]
 
 
 def class_weight(class_id: Column, weights: list[float]) -> Column:

@@ -39,7 +39,9 @@ def clean_insensitive(meta: DataFrame) -> DataFrame:
 
 def clean_labels(meta: DataFrame) -> DataFrame:
     """Sensitive columns with a usable type and all insensitive columns."""
-    return clean_sensitive(meta).unionByName(clean_insensitive(meta))
+    flag, kind = F.col("column_is_sensitive"), F.col("column_sensitive_type")
+    typed = (flag == "1") & ~kind.isin(UNCLEAN_TYPES)
+    return meta.filter(F.coalesce(typed, F.lit(False)) | ((flag == "0") & kind.isNull()))
 
 
 def undersample(

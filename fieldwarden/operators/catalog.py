@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # ---- Fixed values: table names left out (backups, dated copies, scratch) -----
-# found anywhere in the lower-case name; a leading dot asks for something before
 EXCLUDED_TABLES = [
-    "._bak_",
-    "._bak[0-9]",
-    "._bak$",
-    "._bk$",
-    "._bk[0-9]",
-    ".[0-9]{8}",
+    ".+_bak_.*",
+    ".+_bak[0-9]+",
+    ".+_bak$",
+    ".+_bk$",
+    ".+_bk[0-9]+",
+    ".+[0-9]{8}.*",
     "^temp_",
     "^tmp_",
     "^s__",

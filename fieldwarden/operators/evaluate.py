@@ -112,6 +112,28 @@ def batch_accuracy(
     return batches.agg(F.count(F.lit(1)).alias("n_batches"), F.avg("_a").alias("accuracy"))
 
 
+def row_loss(probability: str, floor: float = 1e-15) -> Column:
+    """Cross-entropy of a row, given the probability of its true class."""
+    return -F.log(F.greatest(F.col(probability), F.lit(floor)))
+
+
+def binary_row_loss(
+    label: str, probability: str, positive_weight: float = 1.0, floor: float = 1e-15
+) -> Column:
+    """Sigmoid cross-entropy of a row; positives weigh ``positive_weight``."""
+    p = F.col(probability)
+    positive = -F.log(F.greatest(p, F.lit(floor))) * positive_weight
+    negative = -F.log(F.greatest(1 - p, F.lit(floor)))
+    return F.when(F.col(label) == 1, positive).otherwise(negative)
+
+
+def mean_losses(df: DataFrame, losses: dict[str, Column]) -> DataFrame:
+    """``kind, n, loss`` for each loss, all from one pass."""
+    means = [F.avg(loss).alias(f"_{i}") for i, loss in enumerate(losses.values())]
+    rows = [F.struct(F.lit(kind).alias("kind"), "n", F.col(f"_{i}").alias("loss")) for i, kind in enumerate(losses)]
+    return df.agg(F.count(F.lit(1)).alias("n"), *means).select(F.inline(F.array(*rows)))
+
+
 def log_loss(
     df: DataFrame, probability: str = "p_true", weight: Column | None = None, floor: float = 1e-15
 ) -> DataFrame:
@@ -119,9 +141,8 @@ def log_loss(
 
     Weights scale each row's loss; the mean is over rows, not over weights.
     """
-    loss = -F.log(F.greatest(F.col(probability), F.lit(floor)))
-    weighted = loss * (F.lit(1.0) if weight is None else weight)
-    return df.agg(F.count(F.lit(1)).alias("n"), F.avg(weighted).alias("loss"))
+    weighted = row_loss(probability, floor) * (F.lit(1.0) if weight is None else weight)
+    return mean_losses(df, {"": weighted}).drop("kind")
 
 
 def binary_log_loss(
@@ -132,12 +153,4 @@ def binary_log_loss(
     floor: float = 1e-15,
 ) -> DataFrame:
     """Mean sigmoid cross-entropy; positives weigh ``positive_weight``."""
-    p = F.col(probability)
-    positive = -F.log(F.greatest(p, F.lit(floor))) * positive_weight
-    negative = -F.log(F.greatest(1 - p, F.lit(floor)))
-    loss = F.when(F.col(label) == 1, positive).otherwise(negative)
-    return df.agg(F.count(F.lit(1)).alias("n"), F.avg(loss).alias("loss"))
-
-
-def named(df: DataFrame, class_id: str, name: str) -> DataFrame:
-    return df.withColumn(name, class_name(F.col(class_id)))
+    return mean_losses(df, {"": binary_row_loss(label, probability, positive_weight, floor)}).drop("kind")

@@ -18,18 +18,10 @@ from fieldwarden.operators.selection import (
     with_copies,
 )
 
-# top-k per group and top-k stay on the map side up to this many rows
+# top-k per group and top-k stay on the map side up to this many rows; beyond, the
+# same order is cut by counts, so the rows are the same on both sides
 SMALL_SAMPLE = 1000
 
-# ---- Fixed values: reserved words of the extraction dialect ------------------
-RESERVED = ["MORE", "END", "DIV", "EXCHANGE", "FROM", "CURRENT", "FUNCTION"]
-
-
-def needs_quotes(name: str) -> bool:
-    """Whether a column name must be quoted in SQL text."""
-    return name.startswith("_") or ":" in name or name.upper() in RESERVED
-
-
 def column(name: str) -> Column:
     """A column by its exact name, whatever characters it holds."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -70,16 +62,24 @@ def decryptable_rows(df: DataFrame, sensitive: list[str], key: str | None) -> Da
     return df.filter(reduce(lambda a, b: a & b, tests)) if tests else df
 
 
-def sample_rows(df: DataFrame, size: int, keys: list[str], seed: int) -> DataFrame:
-    """``size`` random rows of a table with unique keys.
+def in_order(df: DataFrame, keys: list[str], seed: int) -> list[Column]:
+    """The seeded order of rows; rows that share their keys are told apart by the other columns."""
+    others = [c for c in df.columns if c not in keys]
+    return [seeded_hash(keys, seed), *([seeded_hash(others, seed)] if others else [])]
 
-    Small samples are a distributed top-k that never sorts the table; larger
-    ones cut the hash order instead of gathering the rows in one task.
+
+def sample_rows(
+    df: DataFrame, size: int, keys: list[str], seed: int, distinct_rows: bool = False
+) -> DataFrame:
+    """Exactly ``size`` random rows of a table, or all if there are fewer.
+
+    Copies of a row count each; ``distinct_rows`` promises unique keys, which
+    saves counting them in large samples. Small samples are a distributed top-k
+    that never sorts the table.
     """
     if size <= SMALL_SAMPLE:
-        hashed = df.withColumn("_h", seeded_hash(keys, seed))
-        return hashed.orderBy("_h", *keys).limit(size).drop("_h")
-    return take_sample(df, size, keys, seed, distinct_rows=True)
+        return df.orderBy(*in_order(df, keys, seed)).limit(size)
+    return take_sample(df, size, keys, seed, distinct_rows)
 
 
 def long_rows(
@@ -136,15 +136,9 @@ def sample_values(
         present = present.select(*by, "column_value").distinct()
     order = ["column_value", *(row_keys or [])] if not distinct else ["column_value"]
     if size > SMALL_SAMPLE:
-        unique = bool(distinct or row_keys)
-        rows = present if unique else with_copies(present)
-        copies = None if unique else "_copies"
+        rows = present if distinct else with_copies(present)
+        copies = None if distinct else "_copies"
         cut = cut_rows(rows, by, order, [lambda n: F.lit(size)], seed, copies)
         return repeat_rows(cut, F.col("_below_0")).select(*present.columns)
-    hashed = present.withColumn("_h", seeded_hash(order, seed))
-    ranked = Window.partitionBy(*by).orderBy("_h", *order)
-    return (
-        hashed.withColumn("_rank", F.row_number().over(ranked))
-        .filter(F.col("_rank") <= size)
-        .drop("_h", "_rank")
-    )
+    ranked = Window.partitionBy(*by).orderBy(*in_order(present, order, seed))
+    return present.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= size).drop("_rank")

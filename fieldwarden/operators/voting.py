@@ -6,13 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldwarden.functions.encoders import class_name
+from fieldwarden.functions.vocab import CLASSES
+
+FLAGS = ["insensitive", "sensitive"]
 
 
 def vote(
-    df: DataFrame, group: list[str], prediction: str = "prediction", position: str = "position"
+    df: DataFrame,
+    group: list[str],
+    prediction: str = "prediction",
+    position: str = "position",
+    names: list[str] = CLASSES,
 ) -> DataFrame:
     """Most common prediction per group and its share; ties go to the first seen.
 
+    ``names`` are those of the classes predicted; binary predictions have
+    ``FLAGS``.
+
     Counts per (group, prediction) combine map-side, so a group of any size
     leaves the mappers as a handful of rows. No list of predictions is built.
     """
@@ -27,7 +37,7 @@ def vote(
     return best.select(
         *group,
         "label",
-        class_name(F.col("label")).alias("raw_label"),
+        class_name(F.col("label"), names).alias("raw_label"),
         (F.col("_votes") / F.col("n_values")).alias("probability"),
         "n_values",
     )

@@ -21,7 +21,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldwarden.functions.encoders import class_weight, class_weights
+from fieldwarden.functions.encoders import binary_weights, class_weight, class_weights
 from fieldwarden.functions.text import EOS_MARK, PAD_MARK, clean_text
 from fieldwarden.functions.vocab import CLASSES, DEEP_LAYOUT, KEY, MAX_LEN, WIDE_LAYOUT, WIDE_SIZE
 from fieldwarden.operators.evaluate import accuracy, classification_report
@@ -144,12 +144,12 @@ def train(
 ) -> PipelineModel:
     """Fit on encoded, labelled rows.
 
-    ``balanced`` weighs the classes by the default ratio; ``label`` may also
-    name the binary flag. Spark ML keeps the training rows in memory or on disk
+    ``balanced`` weighs the classes of the label in use by the default ratio;
+    ``label`` may also name the binary flag. Spark ML keeps the training rows in memory or on disk
     while it iterates.
     """
     if balanced and weights is None:
-        weights = class_weights(len(CLASSES))
+        weights = class_weights(len(CLASSES)) if label == "class_id" else binary_weights()
     ready = rows.filter(F.col(label).isNotNull())
     if weights:
         ready = ready.withColumn("_weight", class_weight(F.col(label), weights))

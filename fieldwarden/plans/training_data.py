@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import reduce
 from itertools import groupby
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame
 
 from fieldwarden.operators.sampling import (
@@ -98,20 +98,30 @@ def write_all(
     """Write the training rows of a whole catalogue; returns the tables left out.
 
     Tables are written some dozens at a time, so plans stay small however many
-    tables there are; an unreadable table is skipped as a whole.
+    tables there are. A second run replaces the rows of each table. A table that
+    cannot be read, also one that fails only while it is read, is skipped as a
+    whole: if a batch fails, its tables are written one by one.
     """
     skipped, pending = [], []
 
     def flush() -> None:
-        if pending:
-            write_training_rows(reduce(DataFrame.unionByName, pending), path)
-            pending.clear()
+        frames = [df for _, df in pending]
+        try:
+            if frames:
+                write_training_rows(reduce(DataFrame.unionByName, frames), path)
+        except PySparkException:
+            for table, df in pending:
+                try:
+                    write_training_rows(df, path)
+                except PySparkException:
+                    skipped.append(table)
+        pending.clear()
 
     for table, df in table_plans(open_table, registry, keys, **options):
         if df is None:
             skipped.append(table)
             continue
-        pending.append(df)
+        pending.append((table, df))
         if len(pending) == tables_per_job:
             flush()
     flush()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,12 +52,20 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@cache
+def own_dir() -> str:
+    """A folder of this process, removed when it ends."""
+    path = tempfile.mkdtemp(prefix="fieldwarden-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below the shared checkpoint folder of the session.
 
     Every executor must see what lands here, so on a cluster the folder comes
-    from ``spark.checkpoint.dir``. Only a local session may fall back to the
-    temporary folder of its own machine.
+    from ``spark.checkpoint.dir``. Only a local session without that setting gets
+    a folder of its own, which goes with the process.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
@@ -62,7 +73,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.gettempdir()
+        root = own_dir()
     return os.path.join(root, "fieldwarden", f"{purpose}-{uuid.uuid4().hex}")
 
 

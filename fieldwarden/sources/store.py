@@ -39,8 +39,10 @@ def export_dictionary(dictionary: DataFrame, path: str, token_name: str = "char"
     listing.write.csv(path, sep="\t", header=True, quote='"', escape='"')
 
 
-def write_training_rows(rows: DataFrame, path: str, mode: str = "append") -> None:
-    rows.write.mode(mode).partitionBy("stage_table_name").parquet(path)
+def write_training_rows(rows: DataFrame, path: str) -> None:
+    """One folder per table; a table that is written again replaces its rows, others stay."""
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("stage_table_name").parquet(path)
 
 
 def save_model(model: PipelineModel, path: str, version: int) -> str:

@@ -90,3 +90,9 @@ def test_losses(spark):
     assert evaluate.log_loss(df, "p").first().loss == pytest.approx(-(log(0.5) + log(0.25)) / 2)
     weighted = evaluate.binary_log_loss(df, "y", "p", 4.0).first().loss
     assert weighted == pytest.approx(-(4 * log(0.5) + log(0.75)) / 2)
+
+
+def test_binary_votes_have_their_own_names(spark):
+    df = spark.createDataFrame([("a", 1, 0), ("a", 1, 1), ("b", 0, 2)], "g string, prediction int, position int")
+    got = {r.g: r.raw_label for r in voting.vote(df, ["g"], names=voting.FLAGS).collect()}
+    assert got == {"a": "sensitive", "b": "insensitive"}

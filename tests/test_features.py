@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fieldwarden.functions.encoders import class_weights, percent_label
+from fieldwarden.functions.encoders import binary_weights, class_weights, percent_label
 from fieldwarden.functions.vocab import DEEP_SIZE, META_FIELDS, WIDE_SIZE
 from fieldwarden.operators.features import add_features, labels, split_rejects, wide_features
 
@@ -120,6 +120,7 @@ def test_class_weights():
     weights = class_weights(8)
     assert weights[0] == pytest.approx(40 / 281) and weights[-1] == pytest.approx(1 / 281)
     assert class_weights(2, given=[3.0, 1.0]) == [3.0, 1.0]
+    assert binary_weights(3.0) == [0.25, 0.75]
 
 
 def test_percent_label(spark):

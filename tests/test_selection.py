@@ -121,8 +121,20 @@ def test_large_value_samples(spark, monkeypatch):
         assert sorted(map(tuple, large)) == sorted(map(tuple, rows))
 
 
-def test_quoting():
-    assert [sampling.needs_quotes(n) for n in ["_a", "d:x", "end", "plain"]] == [True, True, True, False]
+@pytest.mark.parametrize("size", [1000, 1001, 1500])
+def test_samples_with_copies_are_exact(spark, size):
+    rows = spark.range(5000).select((F.col("id") % 40).alias("k"), F.lit("T").alias("stage_table_name"))
+    assert sampling.sample_rows(rows, size, ["k"], 3).count() == size
+    values = rows.select("stage_table_name", F.lit("C").alias("stage_column_name"), F.col("k").cast("string").alias("column_value"), (F.col("k") % 7).alias("id"))
+    assert sampling.sample_values(values, size, 3, ["id"]).count() == size
+    assert sampling.sample_values(values, size, 3).count() == size
+
+
+def test_both_sides_of_the_limit_draw_the_same_rows(spark, monkeypatch):
+    rows = spark.range(600).select((F.col("id") % 50).alias("k"), (F.col("id") % 3).alias("x"))
+    small = sorted(map(tuple, sampling.sample_rows(rows, 77, ["k"], 3).collect()))
+    monkeypatch.setattr(sampling, "SMALL_SAMPLE", 10)
+    assert sorted(map(tuple, sampling.sample_rows(rows, 77, ["k"], 3).collect())) == small
 
 
 def test_odd_column_names(spark):

@@ -2,6 +2,7 @@ from types import SimpleNamespace
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from fieldwarden import session
 from fieldwarden.functions import crypto
@@ -122,11 +123,12 @@ def test_dictionary_is_built_once(spark, tmp_path):
     assert listing.columns == ["char", "id"]
 
 
-def test_training_rows_append(spark, tmp_path):
+def test_training_rows_replace_those_of_their_table(spark, tmp_path):
     df = spark.createDataFrame([("t", "c", "v")], "stage_table_name string, stage_column_name string, column_value string")
-    for _ in range(2):
-        write_training_rows(df, str(tmp_path / "rows"))
-    assert spark.read.parquet(str(tmp_path / "rows")).count() == 2
+    other = df.withColumn("stage_table_name", F.lit("u"))
+    for rows in (df, df.unionByName(other), df):
+        write_training_rows(rows, str(tmp_path / "rows"))
+    assert sorted(r.stage_table_name for r in spark.read.parquet(str(tmp_path / "rows")).collect()) == ["t", "u"]
 
 
 def test_cipher_key_comes_from_the_session(spark):

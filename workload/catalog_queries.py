@@ -18,7 +18,7 @@ from fieldwarden.sources.extracts import extract_long
 from workload import sql
 from workload.registry import Tables, query
 
-EXCLUDED = r"_bak_|._bak[0-9]|._bak$|._bk$|._bk[0-9]|.[0-9]{8}|^temp_|^tmp_|^s__|_test$"
+EXCLUDED = r"._bak_|._bak[0-9]|._bak$|._bk$|._bk[0-9]|.[0-9]{8}|^temp_|^tmp_|^s__|_test$"
 STAGE_TABLES = f"""
   SELECT table_name FROM @f_tables@
   WHERE database_name = 'stage' AND table_status = '1' AND table_name IS NOT NULL

@@ -179,16 +179,12 @@ def weights_by_class(t: Tables):
 def log_losses(t: Tables):
     weight = class_weight(F.col("class_id"), class_weights(len(CLASSES)))
     binary = t.f_probs.withColumn("is_sensitive", (F.col("class_id") < 7).cast("int"))
-    parts = {
-        "plain": evaluate.log_loss(t.f_probs),
-        "weighted": evaluate.log_loss(t.f_probs, weight=weight),
-        "binary": evaluate.binary_log_loss(binary, "is_sensitive", "p_true", 3.0),
+    losses = {
+        "plain": evaluate.row_loss("p_true"),
+        "weighted": evaluate.row_loss("p_true") * weight,
+        "binary": evaluate.binary_row_loss("is_sensitive", "p_true", 3.0),
     }
-    out = None
-    for kind, df in parts.items():
-        row = df.select(F.lit(kind).alias("kind"), "n", F.round("loss", 6).alias("loss"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    return evaluate.mean_losses(binary, losses).select("kind", "n", F.round("loss", 6).alias("loss"))
 
 
 CLASS_ROWS = "(SELECT unnest(range(8)) AS class_id, unnest(" + sql.text_list(CLASSES) + ") AS class)"
