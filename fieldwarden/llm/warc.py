@@ -193,12 +193,18 @@ def read_archive(data: bytes):
 
 
 def train_dictionary(pages: DataFrame, samples: int = SAMPLES, each: int = SAMPLE_BYTES) -> bytes:
-    """A dictionary from the first bytes of the payloads with the least hashes; empty if too few.
+    """A dictionary from the first bytes of some payloads; empty if they are too few.
 
-    At most ``samples * each`` bytes come to the driver.
+    Rows are drawn by a hash at a rate that leaves about ``samples``, so no task
+    sends more than its share and at most ``2 * samples * each`` characters come
+    to the driver.
     """
-    html = pages.filter(F.length("html") > 0).select(F.substring("html", 1, each).alias("html"))
-    rows = html.orderBy(F.xxhash64("html"), "html").limit(samples).collect()
+    space = 1 << 40
+    share = min(space, space * samples // max(pages.count(), 1))
+    place = F.xxhash64("page_id", "url")
+    drawn = pages.filter((F.length("html") > 0) & (F.pmod(place, F.lit(space)) < share))
+    html = drawn.select(F.substring("html", 1, each).alias("html"), place.alias("place"))
+    rows = html.orderBy("place", "html").limit(2 * samples).collect()
     texts = [r.html.encode() for r in rows]
     try:
         return zstandard.train_dictionary(DICTIONARY, texts).as_bytes() if len(texts) >= 16 else b""
