@@ -72,14 +72,17 @@ EN_PUNCTUATION = (
 
 # blocks whose characters normalisation leaves alone, alone or side by side:
 # ASCII, Latin letters with marks (around the few compatibility letters),
-# basic Cyrillic letters, Han punctuation and unified ideographs
+# basic Cyrillic letters, dashes and quotes, Han punctuation and unified ideographs
 NORMAL_RANGES = [
     (0x00, 0x7F),
+    (0xB7, 0xB7),
     (0xC0, 0x131),
     (0x134, 0x13E),
     (0x141, 0x148),
     (0x14A, 0x17E),
     (0x410, 0x44F),
+    (0x2012, 0x2016),
+    (0x2018, 0x2023),
     (0x3001, 0x3029),
     (0x3400, 0x4DBF),
     (0x4E00, 0x9FFF),
@@ -104,6 +107,10 @@ DROPPED_RUN = f"[^{KEPT_ASCII}{HAN}]+"
 ALL_NORMAL = f"^[{char_class(NORMAL_RANGES)}]*+$"
 TOKEN = f"([0-9]|[a-z]+|[(),!?'\"]|[{HAN}])"
 
+# full-width forms of ASCII: their compatibility form is one character each, whatever stands beside them
+FULL_WIDTH = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000"
+HALF_WIDTH = "".join(map(chr, range(0x21, 0x7F))) + " "
+
 # stand-ins inside a padded text; clean text holds no control characters
 EOS_MARK, PAD_MARK = "\x01", "\x02"
 
@@ -131,9 +138,20 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(STRIP_CHARS))
 
 
+def folded_width(text: Column) -> Column:
+    """Texts that may change, full-width forms mapped; null for all others."""
+    return F.when(~text.rlike(ALL_NORMAL), F.translate(text, FULL_WIDTH, HALF_WIDTH))
+
+
+def unsettled(text: Column) -> Column:
+    """What the normalising function must see; null for texts the JVM has settled."""
+    folded = folded_width(text)
+    return F.when(~folded.rlike(ALL_NORMAL), folded)
+
+
 def normalise(text: Column) -> Column:
-    """Compatibility normalisation; rows that cannot change skip the work."""
-    return F.coalesce(nfkc(F.when(~text.rlike(ALL_NORMAL), text)), text)
+    """Compatibility normalisation; rows that cannot change, or only in width, stay in the JVM."""
+    return F.coalesce(nfkc(unsettled(text)), folded_width(text), text)
 
 
 def clean_text(text: Column, unicode_form: bool = True) -> Column:

@@ -91,34 +91,40 @@ def split_rejects(
 def dataset_features(
     values: DataFrame,
     meta: DataFrame,
-    ids: dict[str, int],
+    ids: dict[str, int] | None,
     column_type_from: str = COLUMN_TYPE_FROM,
     carry: list[str] | None = None,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """Features and labels of every value.
+    """Features and labels of every value; without a dictionary only the wide ones.
 
     Metadata is encoded once per column, before the join, not once per value;
     only the value's own slots are made after it. ``carry`` names metadata
-    fields to keep, such as the split.
+    fields to keep, such as the split; ``keep`` names those of the values.
     """
     meta = meta.withColumnsRenamed(META_ALIASES)
+    own, deep_of_meta, deep = ["column_value"], [], []
+    if ids is not None:
+        deep_of_meta = [deep_features(meta.columns, ids, DEEP_LAYOUT[:-1]).alias("_deep")]
+        deep = [F.concat("_deep", deep_features(own, ids, own)).alias("deep")]
     encoded = labels(meta).select(
         *KEY,
         *(carry or []),
         "is_sensitive",
         "class_id",
         wide_features(meta.columns, column_type_from, WIDE_LAYOUT[:-1]).alias("_wide"),
-        deep_features(meta.columns, ids, DEEP_LAYOUT[:-1]).alias("_deep"),
+        *deep_of_meta,
     )
-    joined = attach(values.select(*KEY, "column_value"), encoded)
+    joined = attach(values.select(*KEY, *own, *(keep or [])), encoded)
     value = F.coalesce("column_value", F.lit(""))
     filled = joined.withColumn("column_value", value)
     return filled.select(
         *[F.coalesce(k, F.lit("")).alias(k) for k in KEY],
         "column_value",
+        *(keep or []),
         *(carry or []),
         "is_sensitive",
         "class_id",
-        F.concat("_wide", wide_features(["column_value"], fields=["column_value"])).alias("wide"),
-        F.concat("_deep", deep_features(["column_value"], ids, ["column_value"])).alias("deep"),
+        F.concat("_wide", wide_features(own, fields=own)).alias("wide"),
+        *deep,
     )

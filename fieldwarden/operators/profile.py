@@ -49,16 +49,34 @@ def category_share(df: DataFrame, category: str, keep_null: bool = False) -> Dat
     return with_shares(counts)
 
 
-def with_shares(counts: DataFrame) -> DataFrame:
-    """Shares of (category, n) rows, of which there is one per category.
+def category_shares(
+    df: DataFrame, categories: dict[str, Column], keep_null: list[str] | None = None
+) -> DataFrame:
+    """``category_share`` of several fields from one scan and one count.
 
-    The total is a scalar; only the running total needs an order over all
-    categories, and it sees one row for each.
+    Fields named in ``keep_null`` count their missing values as a category.
     """
-    total = counts.agg(F.sum("n")).scalar()
-    upto = F.sum("n").over(Window.orderBy(F.col("category").asc_nulls_last()))
+    named = df.select(*[c.cast("string").alias(f) for f, c in categories.items()])
+    rows = named.unpivot([], list(categories), "field", "category")
+    kept = rows.filter(F.col("category").isNotNull() | F.col("field").isin(keep_null or []))
+    return with_shares(kept.groupBy("field", "category").agg(F.count(F.lit(1)).alias("n")), ["field"])
+
+
+def with_shares(counts: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """Shares of (category, n) rows within their group, of which there is one per category.
+
+    The running total needs an order over the categories of a group; it sees
+    one row for each category, whatever the number of rows behind it.
+    """
+    group = group or []
+    within = Window.partitionBy(*group)
+    total = F.sum("n").over(within)
+    upto = F.sum("n").over(
+        within.orderBy(F.col("category").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    )
     shared = counts.withColumns({"_total": total, "_upto": upto})
     return shared.select(
+        *group,
         "category",
         "n",
         (F.col("n") * 100 / F.col("_total")).alias("percentage"),
@@ -85,6 +103,30 @@ def sensitivity_by(df: DataFrame, category: Column, flag: str = "column_is_sensi
     )
 
 
+def sensitivities_by(
+    df: DataFrame, categories: dict[str, Column], flag: str = "column_is_sensitive"
+) -> DataFrame:
+    """``sensitivity_by`` for several fields from one scan and one count."""
+    named = df.filter(F.col(flag).isNotNull()).select(
+        F.col(flag).alias("is_sensitive"), *[c.cast("string").alias(f) for f, c in categories.items()]
+    )
+    counts = (
+        named.unpivot(["is_sensitive"], list(categories), "field", "category")
+        .filter(F.col("category").isNotNull())
+        .groupBy("field", "category", "is_sensitive")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    within = F.sum("n").over(Window.partitionBy("field", "category"))
+    return counts.withColumn("_total", within).select(
+        "field",
+        "category",
+        "is_sensitive",
+        "n",
+        (F.col("n") * 100 / F.col("_total")).alias("percentage"),
+        percent_label(F.col("n"), F.col("_total")).alias("label"),
+    )
+
+
 def is_long(text: str, size: int) -> Column:
     return F.char_length(text) >= size
 

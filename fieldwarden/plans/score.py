@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldwarden.functions.encoders import class_name
@@ -15,7 +15,7 @@ from fieldwarden.functions.vocab import KEY, STATUS_OK
 from fieldwarden.operators.joining import META_ALIASES, attach
 from fieldwarden.operators.voting import gather_predictions, vote, vote_in_row
 from fieldwarden.plans import learn
-from fieldwarden.sources.requests import explode_request_values, request_fields, validate_requests
+from fieldwarden.sources.requests import explode_request_values, listed_values, request_fields, validate_requests
 
 RESULT = ["status", "error_msg", "label", "raw_label", "probability", "predictions"]
 
@@ -26,11 +26,14 @@ class Predictor:
 
     ``prepare`` sees metadata fields and adds the column ``carried``; ``predict``
     sees that column and a value and adds ``prediction``.
+    Where an expression over ``carried`` and a value does it, ``of_value`` is
+    that expression, and a request's list is scored without leaving its row.
     """
 
     prepare: Callable[[DataFrame], DataFrame]
     predict: Callable[[DataFrame], DataFrame]
     carried: str
+    of_value: Callable[[Column], Column] | None = None
 
 
 def by_model(model: PipelineModel) -> Predictor:
@@ -44,12 +47,15 @@ def by_model(model: PipelineModel) -> Predictor:
 def by_rules() -> Predictor:
     """Patterns in the values, then keywords in the name and comment of the column."""
     hint = keyword_class(F.col("column_name"), F.col("column_comment"))
+
+    def of_value(value: Column) -> Column:
+        return rule_class_id(value, F.col("_keyword"))
+
     return Predictor(
         lambda meta: meta.withColumn("_keyword", hint),
-        lambda rows: rows.withColumn(
-            "prediction", rule_class_id(F.col("column_value"), F.col("_keyword"))
-        ),
+        lambda rows: rows.withColumn("prediction", of_value(F.col("column_value"))),
         "_keyword",
+        of_value,
     )
 
 
@@ -59,16 +65,21 @@ def score_requests(
     """One result per request; invalid requests carry their status and message only.
 
     Both kinds go through one pass over the input, and the vote runs over the
-    gathered list, inside the row.
+    list of predictions, inside the row. Only a model needs one row per value
+    and a shuffle to gather them again.
     """
     checked = validate_requests(requests, body)
-    # copies of a request are requests of their own: groups never span input rows
-    checked = checked.withColumn("_row", F.monotonically_increasing_id())
-    carried = [key, "_row", "status", "error_msg"]
-    prepared = predictor.prepare(request_fields(checked, carried))
-    values = explode_request_values(prepared, [*carried, predictor.carried], outer=True)
-    predicted = predictor.predict(values.na.fill("", ["column_value"]))
-    lists = gather_predictions(predicted, carried)
+    if predictor.of_value is not None:
+        prepared = predictor.prepare(request_fields(checked, [key, "status", "error_msg"]))
+        lists = prepared.withColumn("predictions", F.transform(listed_values(), predictor.of_value))
+    else:
+        # copies of a request are requests of their own: groups never span input rows
+        checked = checked.withColumn("_row", F.monotonically_increasing_id())
+        carried = [key, "_row", "status", "error_msg"]
+        prepared = predictor.prepare(request_fields(checked, carried))
+        values = explode_request_values(prepared, [*carried, predictor.carried], outer=True)
+        predicted = predictor.predict(values.na.fill("", ["column_value"]))
+        lists = gather_predictions(predicted, carried)
     valid = F.col("status") == STATUS_OK
     best = F.when(valid, vote_in_row(F.col("predictions")))
     return lists.withColumn("_best", best).select(

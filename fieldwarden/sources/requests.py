@@ -85,15 +85,19 @@ def request_fields(checked: DataFrame, keep: list[str]) -> DataFrame:
     return checked.select(*keep, "request.*")
 
 
+def listed_values() -> Column:
+    """The values of a request; an empty list holds one empty value, an invalid request none."""
+    values = F.col("column_value")
+    return F.when(F.size(values) == 0, F.array(F.lit(""))).otherwise(values)
+
+
 def explode_request_values(requests: DataFrame, keep: list[str], outer: bool = False) -> DataFrame:
     """One row per value of each request; an empty list gives one empty value.
 
     Invalid requests have no list and drop out, or leave one row without a
     position if ``outer`` is set.
     """
-    values = F.col("column_value")
-    listed = F.when(F.size(values) == 0, F.array(F.lit(""))).otherwise(values)
-    split = F.posexplode_outer(listed) if outer else F.posexplode(listed)
+    split = F.posexplode_outer(listed_values()) if outer else F.posexplode(listed_values())
     return requests.select(*keep, split.alias("position", "column_value"))
 
 

@@ -56,3 +56,19 @@ def test_aggregates_are_partial_before_the_shuffle(spark, sf_dir):
 def test_scans_read_only_what_they_need(spark, sf_dir):
     schemas = re.findall(r"ReadSchema: struct<(.*?)>", plan(spark, sf_dir, "column_vote"))
     assert schemas and all(set(s.split(",")) == {"o_orderkey:bigint", "o_custkey:bigint"} for s in schemas)
+
+
+def test_profiles_read_their_input_once(spark, sf_dir):
+    for name in ["category_share", "sensitivity_by_category"]:
+        assert len(re.findall(r"FileScan parquet", plan(spark, sf_dir, name))) == 1, name
+
+
+def test_metadata_is_encoded_below_the_join(spark, sf_dir):
+    text = QUERIES["wide_features"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    above = text[: text.index("Join ")]
+    assert "database_type" not in above and "column_value" in above
+
+
+def test_rules_score_requests_inside_the_row(spark, sf_dir):
+    optimized = QUERIES["score_requests"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in optimized and "Generate" not in optimized

@@ -181,3 +181,16 @@ def test_dictionary_rejects_words():
 
     with pytest.raises(ValueError):
         tx.id_table({"AB": 3})
+
+
+def test_full_width_forms_stay_in_the_jvm(spark):
+    settled = ["客户（联系人）：手机号，必填", "ＡＢＣ１２３　ｘ", "plain", "“引号”—·", ""]
+    seen = ["ﬁrst", "①", "é", "ｶﾞ", "（½）"]
+    df = spark.createDataFrame([(s,) for s in settled + seen], "s string")
+    rows = df.select("s", tx.unsettled(F.col("s")).alias("sent"), tx.normalise(F.col("s")).alias("n")).collect()
+    assert {r.s for r in rows if r.sent is not None} == set(seen)
+    assert all(r.n == unicodedata.normalize("NFKC", r.s) for r in rows)
+
+
+def test_every_full_width_form_is_folded():
+    assert tx.HALF_WIDTH == unicodedata.normalize("NFKC", tx.FULL_WIDTH)

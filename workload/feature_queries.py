@@ -9,6 +9,7 @@ from fieldwarden.functions import text as tx
 from fieldwarden.functions.rules import VALUE_PATTERNS, value_hits
 from fieldwarden.functions.vocab import (
     CATEGORIES,
+    CLASSES,
     DEEP_LAYOUT,
     DICTIONARY_META_FIELDS,
     KEY,
@@ -17,8 +18,7 @@ from fieldwarden.functions.vocab import (
 )
 from fieldwarden.operators import dictionary as dic
 from fieldwarden.operators.balance import clean_labels, split_stratified
-from fieldwarden.operators.features import dataset_features, wide_features
-from fieldwarden.operators.joining import attach
+from fieldwarden.operators.features import dataset_features
 from fieldwarden.session import shared_dir, spread_small, stored
 from fieldwarden.sources.store import build_or_reuse_dictionary, read_features, write_features, write_splits
 from workload import sql
@@ -34,13 +34,11 @@ def clean_text(t: Tables):
     return spread_small(t.f_text).select("id", tx.clean_text(F.col("text")).alias("text"))
 
 
-ZH = "＂＃＄％＆＇（）＊＋，－／：；＜＝＞＠［＼］＾＿｀｛｜｝～｟｠｢｣､　、〃〈〉《》「」『』【】〔〕〖〗〘〙〚〛〜〝〞〟〰〾〿–—‘’‛“”„‟…‧﹏﹑﹔·！？｡。"
-EN = "\"#$%&'()*+,-/:;<=>@[\\]^_`{|}~()(), , ()()()()()()()()()~\"\"\"   --'''\"\"\"\"  _,; !?.."
-
-
 @query(
     "zh_punc",
-    "SELECT id, translate(text, '{}', '{}') AS text FROM @f_marks@".format(ZH, EN.replace("'", "''")),
+    "SELECT id, translate(text, '{}', '{}') AS text FROM @f_marks@".format(
+        tx.ZH_PUNCTUATION, tx.EN_PUNCTUATION.replace("'", "''")
+    ),
 )
 def zh_punc(t: Tables):
     return t.f_marks.select("id", tx.zh_punc_to_en_punc(F.col("text")).alias("text"))
@@ -136,7 +134,7 @@ def text_sequence(t: Tables):
     )
 
 
-def wide_sql(column_type: str) -> str:
+def wide_vector(column_type: str) -> str:
     blocks = []
     for field in WIDE_LAYOUT:
         if field in MAX_LEN:
@@ -146,66 +144,73 @@ def wide_sql(column_type: str) -> str:
         source = f"split_part({column_type}, '(', 1)" if field == "column_type" else field
         value = sql.strip(f"upper(coalesce({source}, ''))")
         blocks.append(sql.one_hot(value, values, default))
-    vector = " || ".join(blocks)
-    return f"SELECT row_id, array_to_string({vector}, ',') AS wide FROM {JOINED}"
+    return f"array_to_string({' || '.join(blocks)}, ',')"
+
+
+def wide_sql(column_type: str) -> str:
+    return f"SELECT row_id, {wide_vector(column_type)} AS wide FROM {JOINED}"
 
 
-def with_row_ids(t: Tables) -> DataFrame:
-    return attach(spread_small(t.f_values).select(*KEY, "column_value", "row_id"), t.f_meta)
+def wide_rows(t: Tables, column_type_from: str) -> DataFrame:
+    rows = dataset_features(spread_small(t.f_values), t.f_meta, None, column_type_from, keep=["row_id"])
+    return rows.select("row_id", millionths(F.col("wide")).alias("wide"))
 
 
 @query("wide_features", wide_sql("database_type"))
 def wide(t: Tables):
-    rows = with_row_ids(t)
-    return rows.select("row_id", millionths(wide_features(rows.columns)).alias("wide"))
+    return wide_rows(t, "database_type")
 
 
 @query("wide_features_own_type", wide_sql("column_type"))
 def wide_own_type(t: Tables):
-    rows = with_row_ids(t)
-    return rows.select(
-        "row_id", millionths(wide_features(rows.columns, column_type_from="column_type")).alias("wide")
-    )
+    return wide_rows(t, "column_type")
 
 
 DEEP = " || ".join(sql.sequence(f"c_{f}", MAX_LEN[f]) for f in DEEP_LAYOUT)
 
 
-@query(
-    "deep_features",
-    f"""SELECT stage_table_name, stage_column_name, column_value, is_sensitive, class_id,
-      array_to_string({DEEP}, ',') AS deep FROM
-    (SELECT stage_table_name, stage_column_name, coalesce(column_value, '') AS column_value,
-       CASE WHEN column_is_sensitive = '1' THEN 1 ELSE 0 END AS is_sensitive,
+def dataset_sql(joined: str, *more: str) -> str:
+    """Keys, value, labels and deep vector of the joined rows; ``more`` are further columns of theirs."""
+    names = "".join(f", {m.split(' AS ')[-1]}" for m in more)
+    return f"""SELECT stage_table_name, stage_column_name, column_value, is_sensitive, class_id,
+      array_to_string({DEEP}, ',') AS deep{names} FROM
+    (SELECT coalesce(stage_table_name, '') AS stage_table_name, coalesce(stage_column_name, '') AS stage_column_name,
+       coalesce(column_value, '') AS column_value, CASE WHEN column_is_sensitive = '1' THEN 1 ELSE 0 END AS is_sensitive,
        CASE WHEN column_sensitive_type IS NULL THEN 7
-         ELSE coalesce(CAST(list_position(['卡号', '固定电话', '地址', '姓名', '手机', '身份证', '邮箱'], column_sensitive_type) AS INT), 0) - 1
-       END AS class_id, {", ".join(f"{sql.clean(f)} AS c_{f}" for f in DEEP_LAYOUT)} FROM {JOINED}), {LOOKUP}""",
-)
-def deep(t: Tables):
-    ids = dic.char_ids(field_dictionary(t))
-    rows = dataset_features(spread_small(t.f_values), t.f_meta, ids)
-    return rows.select(
+         ELSE coalesce(CAST(list_position({sql.text_list(CLASSES[:-1])}, column_sensitive_type) AS INT), 0) - 1
+       END AS class_id, {", ".join([*more, *(f"{sql.clean(f)} AS c_{f}" for f in DEEP_LAYOUT)])} FROM {joined}), {LOOKUP}"""
+
+
+def dataset_columns() -> list[Column | str]:
+    return [
         *KEY,
         "column_value",
         "is_sensitive",
         F.coalesce("class_id", F.lit(-1)).alias("class_id"),
         joined_text(F.col("deep")).alias("deep"),
-    )
+    ]
+
+
+@query("deep_features", dataset_sql(JOINED))
+def deep(t: Tables):
+    ids = dic.char_ids(field_dictionary(t))
+    rows = dataset_features(spread_small(t.f_values), t.f_meta, ids)
+    return rows.select(*dataset_columns())
 
 
 @query(
     "feature_store",
-    f"""SELECT split, j.stage_table_name, j.stage_column_name, coalesce(j.column_value, '') AS column_value
-    FROM {JOINED} j JOIN ({SPLIT}) s ON s.stage_table_name = j.stage_table_name
-      AND s.stage_column_name = j.stage_column_name WHERE split = 'test'""",
+    dataset_sql(JOINED.replace("@f_meta@", f"({SPLIT})"), "split", f"{wide_vector('database_type')} AS wide"),
 )
 def feature_store(t: Tables):
+    """The dataset of all splits, written and read again."""
     splits, path = shared_dir(t.spark, "splits"), shared_dir(t.spark, "features")
     write_splits(split_stratified(clean_labels(t.f_meta), KEY, distinct_rows=True), splits)
     split = t.spark.read.parquet(splits)
     ids = dic.char_ids(field_dictionary(t))
     write_features(dataset_features(spread_small(t.f_values), split, ids, carry=["split"]), path)
-    return read_features(t.spark, path, "test").select("split", *KEY, "column_value")
+    rows = read_features(t.spark, path)
+    return rows.select(*dataset_columns(), "split", millionths(F.col("wide")).alias("wide"))
 
 
 HITS = {

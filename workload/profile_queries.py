@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +34,6 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-def tagged(frames: dict[str, DataFrame]) -> DataFrame:
-    return reduce(
-        DataFrame.unionByName, [df.withColumn("field", F.lit(name)) for name, df in frames.items()]
-    )
-
-
 TYPED = "column_is_sensitive = '1' AND column_sensitive_type IS NOT NULL"
 SHARED = {
     "column_sensitive_type": TYPED,
@@ -62,13 +54,10 @@ SHARED = {
     ),
 )
 def category_share(t: Tables):
-    meta = t.f_meta
-    typed = meta.filter((F.col("column_is_sensitive") == "1") & F.col("column_sensitive_type").isNotNull())
-    frames = {"column_sensitive_type": profile.category_share(typed, "column_sensitive_type")}
-    frames["database_port"] = profile.category_share(meta, "database_port")
-    for field in ["database_name", "database_type", "table_theme"]:
-        frames[field] = profile.category_share(meta, field, keep_null=True)
-    return rounded(tagged(frames), "percentage", "label_pos")
+    categories = {f: F.col(f) for f in SHARED}
+    categories["column_sensitive_type"] = F.when(F.col("column_is_sensitive") == "1", F.col("column_sensitive_type"))
+    kept = [f for f, test in SHARED.items() if test == "true"]
+    return rounded(profile.category_shares(t.f_meta, categories, kept), "percentage", "label_pos")
 
 
 BY = {
@@ -101,15 +90,12 @@ def within(counts: str) -> str:
     ),
 )
 def sensitivity_by_category(t: Tables):
-    meta = t.f_meta
-
     def category(name: str) -> Column:
         if name == "column_comment_long":
             return profile.is_long("column_comment", 30).cast("string")
         return F.col(name)
 
-    frames = {name: profile.sensitivity_by(meta, category(name)) for name in BY}
-    return rounded(tagged(frames), "percentage")
+    return rounded(profile.sensitivities_by(t.f_meta, {name: category(name) for name in BY}), "percentage")
 
 
 BASE = "trim(upper(regexp_replace(column_type, '\\(.+\\)', '')))"
