@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldwarden.functions.encoders import class_weight, class_weights
+from fieldwarden.functions.encoders import binary_weights, class_weight, class_weights
 from fieldwarden.functions.vocab import CLASSES, KEY, META_FIELDS, UNCLEAN_TYPES
 from fieldwarden.operators import balance, evaluate, voting
 from fieldwarden.operators.features import labels
@@ -170,6 +170,20 @@ def weights_by_class(t: Tables):
     )
 
 
+# the flag: 1 is the rare class and weighs 40 times as much
+@query(
+    "binary_weights",
+    """SELECT is_sensitive, count(*) AS n, round(max(CASE is_sensitive WHEN 1 THEN 40e0 / (40e0 + 1) ELSE 1 / (40e0 + 1) END), 9) AS weight
+    FROM (SELECT CASE WHEN class_id < 7 THEN 1 ELSE 0 END AS is_sensitive FROM @f_probs@) GROUP BY is_sensitive""",
+)
+def weights_by_flag(t: Tables):
+    flag = (F.col("class_id") < 7).cast("int").alias("is_sensitive")
+    weight = class_weight(F.col("is_sensitive"), binary_weights())
+    return t.f_probs.select(flag).groupBy("is_sensitive").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.max(weight), 9).alias("weight")
+    )
+
+
 @query(
     "log_loss",
     f"""SELECT 'plain' AS kind, count(*) AS n, round(avg(-ln(p_true)), 6) AS loss FROM @f_probs@
@@ -264,6 +278,21 @@ def column_vote(t: Tables):
     return votes.withColumn("probability", F.round("probability", 9))
 
 
+@query(
+    "binary_vote",
+    """WITH v AS (SELECT column_id, position, CASE WHEN prediction < 2 THEN 1 ELSE 0 END AS p FROM @f_votes@),
+    c AS (SELECT column_id, p, count(*) AS n, min(position) AS first FROM v GROUP BY ALL),
+    r AS (SELECT *, sum(n) OVER (PARTITION BY column_id) AS total,
+        row_number() OVER (PARTITION BY column_id ORDER BY n DESC, first) AS r FROM c)
+    SELECT column_id, CAST(p AS INT) AS label, CASE p WHEN 1 THEN 'sensitive' ELSE 'insensitive' END AS raw_label,
+      round(n / total, 9) AS probability, CAST(total AS BIGINT) AS n_values FROM r WHERE r = 1""",
+)
+def binary_votes(t: Tables):
+    flags = t.f_votes.withColumn("prediction", (F.col("prediction") < 2).cast("int"))
+    votes = voting.vote(flags, ["column_id"], names=voting.FLAGS)
+    return votes.withColumn("probability", F.round("probability", 9))
+
+
 @query("flag_sensitive", f"SELECT * FROM ({VOTES}) WHERE probability >= 0.45 AND label <> 2")
 def flagged(t: Tables):
     votes = voting.flag_sensitive(voting.vote(t.f_votes, ["column_id"]), 0.45, insensitive=2)
