@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from fieldwarden.llm.common import each_batch, prepared, unpacked
+from fieldwarden.llm.common import each_batch, prepared, stored, unpacked
 
 THRESHOLD = 0.3
 TOXIC_SAMPLE = 2000  # labelled documents the model is fitted on, of each label at most
@@ -157,10 +157,10 @@ def dictionaries(rows: list[tuple[str, int]]) -> Model:
     return Model(base, base + extra, np.zeros(0), np.ones(0), np.zeros(1))
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
+def fit(rows: list[tuple[str, int]], offset: float = 0.0) -> Model:
     """A model of labelled texts; copies of a text count once.
 
-    The weights are calibrated on texts that the dictionaries in use have not
+    ``offset`` is what the log odds of the labels lack by the draw of the rows. The weights are calibrated on texts that the dictionaries in use have not
     seen: each half is scored with dictionaries of the other. The final ones
     are trained on all. With one label alone the score is its smoothed share.
     """
@@ -177,6 +177,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     if not 0 < y.sum() < len(y):
         weights[:] = 0
         weights[0] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    weights[0] += offset
     return dictionaries(rows)._replace(center=center, scale=scale, weights=weights)
 
 
@@ -185,27 +186,51 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """A bounded sample of labelled texts outside the held-out fold, by least hash of the id."""
+def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, doc_id, toxic`` of every distinct labelled text outside the held-out fold.
+
+    ``key`` is the md5 of the text. Copies are one row, that of the least hash of the id.
+    """
     known = labels.filter(F.col("toxic").isin(0, 1) & ~is_held_out(F.col("doc_id"))).select("doc_id", "toxic")
-    known = known.distinct()
+    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", F.md5("text").alias("key"))
+    least = F.min(F.struct(F.xxhash64("doc_id"), "doc_id", "toxic")).alias("least")
+    return texts.join(known.distinct(), "doc_id").groupBy("key").agg(least).select("key", "least.doc_id", "least.toxic")
+
+
+def training_sample(
+    docs: DataFrame, labels: DataFrame, quotas: tuple[int, int] = (ORDINARY_SAMPLE, TOXIC_SAMPLE)
+) -> tuple[DataFrame, float]:
+    """At most so many texts of each label, by least key, and the offset of their log odds.
+
+    A quota that binds changes the rate of its label; the offset is the log odds
+    over all training texts less those of the sample.
+    """
+    known = stored(training_texts(docs, labels), "training-texts")
+    counted = dict(known.groupBy("toxic").count().collect())
+
+    def first(toxic: int) -> DataFrame:
+        return known.filter(F.col("toxic") == toxic).orderBy("key").limit(quotas[toxic])
+
+    # share of a label that is not drawn; without one label there are no odds
+    left_out = [np.log(max(counted.get(k, 0), 1) / max(min(counted.get(k, 0), quotas[k]), 1)) for k in (0, 1)]
+    offset = float(left_out[1] - left_out[0]) if len(counted) == 2 else 0.0
+    return first(1).unionByName(first(0)), offset
 
-    def first(toxic: int, n: int) -> DataFrame:
-        return known.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
-    # at most 6,000 rows
-    sample = first(1, TOXIC_SAMPLE).unionByName(first(0, ORDINARY_SAMPLE))
-    texts = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    rows = texts.join(F.broadcast(sample), "doc_id").filter(F.col("text").isNotNull())
-    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    return [(r.text, r.toxic) for r in sorted(rows.collect(), key=lambda r: (r.doc_id, r.toxic))]
+def training_rows(docs: DataFrame, sample: DataFrame) -> list[tuple[str, int]]:
+    """The texts of a sample with their labels."""
+    texts = docs.select("doc_id", F.md5("text").alias("key"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    rows = texts.join(F.broadcast(sample), ["doc_id", "key"]).dropDuplicates(["key"])
+    return [(r.text, r.toxic) for r in sorted(rows.collect(), key=lambda r: (r.doc_id, r.toxic, r.key))]
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
+def train(docs: DataFrame, labels: DataFrame, quotas: tuple[int, int] = (ORDINARY_SAMPLE, TOXIC_SAMPLE)) -> Model:
+    """A model fitted on at most ``quotas`` ordinary and toxic texts, calibrated to the rate of all."""
     prepared(docs.sparkSession)
-    rows = training_rows(docs, labels)
+    sample, offset = training_sample(docs, labels, quotas)
+    rows = training_rows(docs, sample)
     random.Random(0).shuffle(rows)
-    return fit(rows)
+    return fit(rows, offset)
 
 
 def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

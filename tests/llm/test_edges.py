@@ -321,6 +321,26 @@ def test_toxicity(documents, spark, mixed, empty):
         assert len({r.score for r in scores}) == 1
 
 
+def test_toxicity_keeps_the_label_rate(documents, spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    # the mark is no proof: of the marked texts one in four is toxic
+    given, labelled = [], []
+    for k in range(1200):
+        words = [word() for _ in range(40)]
+        if k % 5 == 0:
+            words[10:30:8] = ["horrible"] * 3
+        given.append((k, " ".join(words)))
+        labelled.append((k, int(k % 20 == 0)))
+    labels = spark.createDataFrame(labelled, "doc_id long, toxic int")
+    docs = documents(given)
+    mean = lambda model: toxicity.toxicity(docs, model).agg(F.avg("score")).first()[0]
+    free, bound = toxicity.train(docs, labels), toxicity.train(docs, labels, quotas=(40, 40))
+    assert toxicity.training_sample(docs, labels)[1] == 0
+    assert abs(mean(free) - 0.05) < 0.02
+    assert mean(bound) < 0.15
+
+
 def test_pipeline(spark, tmp_path, mixed, empty):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
