@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import pickle
 import random
 import zlib
@@ -22,6 +23,7 @@ TOXIC_SAMPLE = 2000  # labelled documents the model is fitted on, of each label
 ORDINARY_SAMPLE = 4000
 SAMPLE_CHARS = 8192  # of each of these at most
 WORDS = 12  # words of a window
+PHRASE = 3  # words of a mark at most
 WINDOW_BYTES = 256  # of a window at most; longer ones are cut
 ORDINARY_BYTES = 100_000
 ROOM = 4  # bytes of the toxic part for each byte of a mark
@@ -116,47 +118,93 @@ def family(words: list[str]) -> int:
     return min(zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in runs)
 
 
-def marks(rows: list[tuple[str, int]]) -> set[str]:
-    """Words that toxic documents use clearly more often than ordinary ones.
+def grams(words: list[str]) -> set[str]:
+    """The words, and the phrases of a few words, of a text."""
+    return {" ".join(words[i : i + n]) for n in range(1, PHRASE + 1) for i in range(len(words) - n + 1)}
+
+
+def chance(n: int, usual: int, share: float) -> float:
+    """How probably ``n`` or more of ``n + usual`` texts are toxic if this share of all is.
 
-    Near copies count once, or the words of one text that was copied often
-    would be marks.
+    For marks every term is at most a fifth of the one before.
     """
-    toxic = [t for t, y in rows if y]
-    kin: dict = {}
-    for k, text in enumerate(toxic):
-        kin.setdefault(family(text.lower().split()), []).append(k)
-    used: Counter = Counter()
-    for members in kin.values():
-        used.update({w for k in members for w in toxic[k].lower().split()})
-    n_toxic, n_ordinary = max(len(toxic), 1), max(len(rows) - len(toxic), 1)
-    least = 3 + 0.01 * n_toxic
-    frequent = {w: n for w, n in used.items() if n >= least}
-    usual = Counter(w for t, y in rows if not y for w in set(t.lower().split()) if w in frequent)
-    return {w for w, n in frequent.items() if n / n_toxic >= 5 * (usual[w] + 1) / n_ordinary}
+    m = n + usual
+    total = 0.0
+    for k in range(n, min(m, n + 40) + 1):
+        ways = math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1)
+        total += math.exp(ways + k * math.log(share) + (m - k) * math.log1p(-share))
+    return total
 
 
-def dictionaries(rows: list[tuple[str, int]]) -> Model:
-    """The ordinary dictionary, trained on ordinary text, and the toxic one.
+def chosen(used: dict[str, tuple[int, int]], n_toxic: int, n_ordinary: int) -> set[str]:
+    """Words and phrases that toxic families hold clearly more often than ordinary ones.
 
-    The latter has the same base and a part trained on the marks of toxic
-    texts, so windows differ in length by what is toxic in them.
+    ``used`` has the toxic and ordinary families of each that more than one
+    toxic family holds. Among all of these one may be marked by chance; there is
+    no least share of the families.
     """
-    known = marks(rows)
-    toxic = [" ".join(w for w in t.lower().split() if w in known).encode() for t, y in rows if y]
-    plain = [t.lower().encode() for t, y in rows if not y]
-    plain = [b[i : i + 256] for b in plain for i in range(0, len(b), 256)]
-    random.Random(0).shuffle(plain)
-    base = dictionary(plain[:20000], ORDINARY_BYTES) or b"        "
+    n_toxic, n_ordinary = max(n_toxic, 1), max(n_ordinary, 1)
+    share = n_toxic / (n_toxic + n_ordinary)
+    return {
+        g
+        for g, (n, usual) in used.items()
+        if n / n_toxic >= 5 * usual / n_ordinary and chance(n, usual, share) * len(used) < 1
+    }
+
+
+def marks(rows: list[tuple[str, int]]) -> set[str]:
+    """The words and phrases that mark toxic texts; near copies count once."""
+    kin: tuple[dict, dict] = {}, {}
+    for text, label in rows:
+        words = text.lower().split()
+        kin[label].setdefault(family(words), set()).update(grams(words))
+    used = Counter(g for held in kin[1].values() for g in held)
+    used = Counter({g: n for g, n in used.items() if n > 1})
+    usual = Counter(g for held in kin[0].values() for g in held if g in used)
+    return chosen({g: (n, usual[g]) for g, n in used.items()}, len(kin[1]), len(kin[0]))
+
+
+def marked(words: list[str], known: set[str]) -> list[bytes]:
+    """The marked words and phrases of a text, as windows."""
+    held = np.zeros(len(words), bool)
+    for n in range(1, PHRASE + 1):
+        for i in range(len(words) - n + 1):
+            if " ".join(words[i : i + n]) in known:
+                held[i : i + n] = True
+    return [p for p in windows(" ".join(w for w, h in zip(words, held, strict=True) if h)) if len(p) >= 8]
+
+
+def joined(plain: list[bytes], toxic: list[bytes], known: set[str]) -> Model:
+    """The ordinary dictionary, trained on pieces of ordinary text, and the toxic one.
+
+    The latter has the same base and a part trained on the marks in toxic
+    texts, so windows differ in length by what is toxic in them. Marks that
+    training left out are put before that part.
+    """
+    base = dictionary(plain, ORDINARY_BYTES) or b"        "
     room = 256 + max(256, ROOM * sum(len(w.encode()) + 1 for w in known))
-    extra = dictionary([m for m in toxic if len(m) >= 8], room, k=32, d=6)
+    extra = dictionary(toxic, room, k=32, d=6)
     if extra[:4] == TRAINED:
         extra = extra[256:]  # tables stand in front of the text
-    if sum(len(w) for w in known) > len(extra):  # a few marks, or none, left no room beside the tables
-        extra = " ".join(["", *sorted(known), ""]).encode()
+    missing = sorted(w for w in known if w.encode() not in extra)
+    extra = " ".join(["", *missing, ""]).encode() + extra
     return Model(base, base + extra, np.zeros(0), np.ones(0), np.zeros(1))
 
 
+def dictionaries(rows: list[tuple[str, int]]) -> Model:
+    """Both dictionaries of labelled texts; of near copies one gives its marks."""
+    known = marks(rows)
+    toxic = {}
+    for text, label in rows:
+        if label:
+            words = text.lower().split()
+            toxic.setdefault(family(words), marked(words, known))
+    plain = [t.lower().encode() for t, y in rows if not y]
+    plain = [b[i : i + 256] for b in plain for i in range(0, len(b), 256)]
+    random.Random(0).shuffle(plain)
+    return joined(plain[:20000], [p for own in toxic.values() for p in own], known)
+
+
 def fit(rows: list[tuple[str, int]], offset: float = 0.0) -> Model:
     """A model of labelled texts; copies of a text count once.
 

@@ -341,6 +341,28 @@ def test_toxicity_keeps_the_label_rate(documents, spark):
     assert mean(bound) < 0.15
 
 
+def test_toxicity_learns_rare_words_and_phrases(documents, spark):
+    rng = random.Random(6)
+    usual = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    phrase = " ".join(usual[:3])
+    one = [rng.choice(usual) for _ in range(60)]
+    given, labelled = [], []
+    for k in range(2400):
+        words = [rng.choice(usual) for _ in range(60)]
+        if k % 2:  # near copies of one toxic text
+            words = [*one, f"copy{k}"]
+        elif k < 400:  # words in a few texts each, and a phrase of ordinary words
+            words[20] = f"vile{k % 20 // 2}x"
+        elif k < 500:
+            words[20:50:10] = [phrase] * 3
+        given.append((k, " ".join(words)))
+        labelled.append((k, int(k % 2 or k < 500)))
+    docs = documents(given)
+    model = toxicity.train(docs, spark.createDataFrame(labelled, "doc_id long, toxic int"))
+    assert all(f"vile{k}x".encode() in model.toxic for k in range(10))
+    assert phrase.encode() in model.toxic
+
+
 def test_pipeline(spark, tmp_path, mixed, empty):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
