@@ -6,7 +6,6 @@ import math
 import pickle
 import random
 import zlib
-from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -14,6 +13,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from fieldwarden.llm.common import each_batch, prepared, stored, unpacked
@@ -21,11 +21,14 @@ from fieldwarden.llm.common import each_batch, prepared, stored, unpacked
 THRESHOLD = 0.3
 TOXIC_SAMPLE = 2000  # labelled documents the model is fitted on, of each label at most
 ORDINARY_SAMPLE = 4000
-SAMPLE_CHARS = 8192  # of each of these at most
+SCOPES = (0, 1, 2)  # dictionaries of either half of the sample, and of all of it
 WORDS = 12  # words of a window
 PHRASE = 3  # words of a mark at most
 WINDOW_BYTES = 256  # of a window at most; longer ones are cut
 ORDINARY_BYTES = 100_000
+PIECE_BYTES = 256  # of ordinary text in one sample for its dictionary
+PIECES = 20_000  # samples that a dictionary is trained on at most
+STEP_WORDS = 20_000  # of a text whose phrases are held at a time
 ROOM = 4  # bytes of the toxic part for each byte of a mark
 GAINS = (1, 2, 3, 4, 6)  # bytes that a window may gain at least
 
@@ -129,6 +132,8 @@ def chance(n: int, usual: int, share: float) -> float:
     For marks every term is at most a fifth of the one before.
     """
     m = n + usual
+    if share >= 1:
+        return 1.0
     total = 0.0
     for k in range(n, min(m, n + 40) + 1):
         ways = math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1)
@@ -136,34 +141,20 @@ def chance(n: int, usual: int, share: float) -> float:
     return total
 
 
-def chosen(used: dict[str, tuple[int, int]], n_toxic: int, n_ordinary: int) -> set[str]:
+def chosen(used: dict[str, tuple[int, int]], tested: int, n_toxic: int, n_ordinary: int) -> set[str]:
     """Words and phrases that toxic families hold clearly more often than ordinary ones.
 
-    ``used`` has the toxic and ordinary families of each that more than one
-    toxic family holds. Among all of these one may be marked by chance; there is
-    no least share of the families.
+    ``used`` has the toxic and ordinary families of each. Among all ``tested``
+    one may be marked by chance; there is no least share of the families.
     """
-    n_toxic, n_ordinary = max(n_toxic, 1), max(n_ordinary, 1)
     share = n_toxic / (n_toxic + n_ordinary)
     return {
         g
         for g, (n, usual) in used.items()
-        if n / n_toxic >= 5 * usual / n_ordinary and chance(n, usual, share) * len(used) < 1
+        if n / n_toxic >= 5 * usual / max(n_ordinary, 1) and chance(n, usual, share) * tested < 1
     }
 
 
-def marks(rows: list[tuple[str, int]]) -> set[str]:
-    """The words and phrases that mark toxic texts; near copies count once."""
-    kin: tuple[dict, dict] = {}, {}
-    for text, label in rows:
-        words = text.lower().split()
-        kin[label].setdefault(family(words), set()).update(grams(words))
-    used = Counter(g for held in kin[1].values() for g in held)
-    used = Counter({g: n for g, n in used.items() if n > 1})
-    usual = Counter(g for held in kin[0].values() for g in held if g in used)
-    return chosen({g: (n, usual[g]) for g, n in used.items()}, len(kin[1]), len(kin[0]))
-
-
 def marked(words: list[str], known: set[str]) -> list[bytes]:
     """The marked words and phrases of a text, as windows."""
     held = np.zeros(len(words), bool)
@@ -191,42 +182,147 @@ def joined(plain: list[bytes], toxic: list[bytes], known: set[str]) -> Model:
     return Model(base, base + extra, np.zeros(0), np.ones(0), np.zeros(1))
 
 
-def dictionaries(rows: list[tuple[str, int]]) -> Model:
-    """Both dictionaries of labelled texts; of near copies one gives its marks."""
-    known = marks(rows)
-    toxic = {}
-    for text, label in rows:
-        if label:
-            words = text.lower().split()
-            toxic.setdefault(family(words), marked(words, known))
-    plain = [t.lower().encode() for t, y in rows if not y]
-    plain = [b[i : i + 256] for b in plain for i in range(0, len(b), 256)]
-    random.Random(0).shuffle(plain)
-    return joined(plain[:20000], [p for own in toxic.values() for p in own], known)
-
-
-def fit(rows: list[tuple[str, int]], offset: float = 0.0) -> Model:
-    """A model of labelled texts; copies of a text count once.
-
-    ``offset`` is what the log odds of the labels lack by the draw of the rows. The weights are calibrated on texts that the dictionaries in use have not
-    seen: each half is scored with dictionaries of the other. The final ones
-    are trained on all. With one label alone the score is its smoothed share.
+def text_rows(rows: DataFrame, function, schema: str) -> DataFrame:
+    """What ``function`` of a row yields as lists of columns; one text is held at a time."""
+
+    def run(batches):
+        names, kinds = out.names, out.types
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                for columns in function(row):
+                    arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays(arrays, names)
+
+    prepared(rows.sparkSession)
+    out = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+    return rows.mapInArrow(run, schema)
+
+
+def used_grams(rows: DataFrame) -> DataFrame:
+    """``gram``, and the families of each label and half that hold it; two toxic ones at least."""
+
+    def run(row):
+        words = row["text"].lower().split()
+        for i in range(0, len(words), STEP_WORDS):
+            held = list(grams(words[i : i + STEP_WORDS + PHRASE - 1]))
+            yield held, [row["toxic"]] * len(held), [row["family"]] * len(held)
+
+    held = text_rows(rows, run, "gram string, toxic int, family long")
+    counts = [
+        F.count_if((F.col("toxic") == y) & (F.col("family") % 2 == half)).alias(f"n{y}{half}")
+        for y in (0, 1)
+        for half in (0, 1)
+    ]
+    held = held.repartition("gram").distinct().groupBy("gram").agg(*counts)
+    return stored(held.filter(F.col("n10") + F.col("n11") > 1), "training-grams")
+
+
+def all_marks(rows: DataFrame) -> list[set[str]]:
+    """The words and phrases that mark toxic texts of each scope; near copies count once."""
+    used = used_grams(rows)
+    families = {tuple(r[:2]): r[2] for r in rows.groupBy("toxic", F.col("family") % 2).agg(F.countDistinct("family")).collect()}
+    out = []
+    for scope in SCOPES:
+        halves = (0, 1) if scope == 2 else (scope,)
+        n_ordinary, n_toxic = (sum(families.get((y, half), 0) for half in halves) for y in (0, 1))
+        n, usual = (sum((F.col(f"n{y}{half}") for half in halves), F.lit(0)) for y in (1, 0))
+        here = used.select("gram", n.alias("n"), usual.alias("usual")).filter("n > 1")
+        tested = here.count()
+        if not tested:
+            out.append(set())
+            continue
+        # no mark is less likely by chance than one that ordinary texts never hold
+        share = n_toxic / (n_toxic + n_ordinary)
+        rare = F.col("n") * F.lit(math.log(share)) + F.lit(math.log(tested)) < 1e-6
+        often = F.col("n") * F.lit(n_ordinary) >= F.lit(5 * n_toxic) * F.col("usual")
+        found = {r.gram: (r.n, r.usual) for r in here.filter(rare & often).collect()}
+        out.append(chosen(found, tested, n_toxic, n_ordinary))
+    return out
+
+
+def plain_pieces(rows: DataFrame) -> list[list[bytes]]:
+    """Pieces of the ordinary texts of each half, drawn evenly over all pieces by hash."""
+    rows = rows.filter("toxic = 0")
+    total = dict(rows.groupBy(F.col("family") % 2).agg(F.sum(F.octet_length("text"))).collect())
+
+    def run(row):
+        data, half = row["text"].lower().encode(), row["family"] % 2
+        # somewhat more than are used, as the draw varies
+        limit = 1.1 * PIECES * PIECE_BYTES / max(total[half], 1) * 2**32
+        at = range(0, len(data), PIECE_BYTES)
+        own = [data[i : i + PIECE_BYTES] for i in at if zlib.crc32(f"{row['key']} {i}".encode()) < limit]
+        yield [half] * len(own), own
+
+    out: list[list[bytes]] = [[], []]
+    for r in text_rows(rows, run, "half int, piece binary").collect():
+        out[r.half].append(bytes(r.piece))
+    return out
+
+
+def marked_pieces(rows: DataFrame, known: list[set[str]]) -> list[list[bytes]]:
+    """Windows of marks for each scope, in one text of each family of near copies."""
+    toxic = rows.filter("toxic = 1")
+    first = toxic.groupBy("family").agg(F.min("key").alias("key")).select("key")
+    shared = rows.sparkSession.sparkContext.broadcast(pickle.dumps(known))
+
+    def run(row):
+        words = row["text"].lower().split()
+        for scope in (row["family"] % 2, 2):
+            own = marked(words, unpacked(shared, pickle.loads)[scope])
+            yield [scope] * len(own), own
+
+    found = stored(text_rows(toxic.join(F.broadcast(first), "key", "left_semi"), run, "scope int, piece binary"), "marked")
+    total = dict(found.groupBy("scope").count().collect())
+    limit = F.lit(0)
+    for scope, n in total.items():
+        limit = F.when(F.col("scope") == scope, int(1.1 * PIECES / n * 2**32)).otherwise(limit)
+    out: list[list[bytes]] = [[], [], []]
+    # equal pieces stay or go together
+    for r in found.filter(F.crc32("piece") < limit).collect():
+        out[r.scope].append(bytes(r.piece))
+    return out
+
+
+def drawn(pieces: list[bytes]) -> list[bytes]:
+    """At most so many pieces as a dictionary is trained on, in an order that the pieces decide."""
+    pieces = sorted(pieces)
+    random.Random(0).shuffle(pieces)
+    return pieces[:PIECES]
+
+
+def fit(rows: DataFrame, offset: float = 0.0) -> Model:
+    """A model of labelled texts ``key, toxic, family, text``.
+
+    The weights are calibrated on texts that the dictionaries in use have not
+    seen: each half, by family of near copies, is scored with dictionaries of
+    the other. The final ones are trained on all. Words, windows and features
+    are made of whole texts in tasks; counts, drawn pieces and features reach
+    the driver. ``offset`` is what the log odds of the labels lack by the draw
+    of the rows. With one label alone the score is its smoothed share.
     """
-    seen: dict = {}
-    for text, label in rows:
-        seen.setdefault(text or "", int(label))
-    rows = list(seen.items())
-    parts = rows[::2], rows[1::2]
-    scorers = [Scorer(dictionaries(part)) for part in reversed(parts)]
-    x = np.array([scorer.features(t) for scorer, part in zip(scorers, parts, strict=True) for t, _ in part] or [FLAT])
-    y = np.array([label for part in parts for _, label in part] or [0], float)
+    known = all_marks(rows)
+    plain, toxic = plain_pieces(rows), marked_pieces(rows, known)
+    models = [
+        joined(drawn(plain[k] if k < 2 else plain[0] + plain[1]), drawn(toxic[k]), known[k]) for k in SCOPES
+    ]
+    shared = rows.sparkSession.sparkContext.broadcast(pickle.dumps(models[:2]))
+
+    def run(row):
+        scorer = unpacked(shared, load_all)[1 - row["family"] % 2]
+        yield [row["toxic"]], [row["key"]], [scorer.features(row["text"])]
+
+    found = text_rows(rows, run, "toxic int, key string, features array<double>").collect()
+    found.sort(key=lambda r: r.key)
+    x = np.array([r.features for r in found] or [FLAT])
+    y = np.array([r.toxic for r in found] or [0], float)
     center, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     weights = logistic((x - center) / scale, y)
     if not 0 < y.sum() < len(y):
         weights[:] = 0
         weights[0] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     weights[0] += offset
-    return dictionaries(rows)._replace(center=center, scale=scale, weights=weights)
+    return models[2]._replace(center=center, scale=scale, weights=weights)
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -265,20 +361,23 @@ def training_sample(
     return first(1).unionByName(first(0)), offset
 
 
-def training_rows(docs: DataFrame, sample: DataFrame) -> list[tuple[str, int]]:
-    """The texts of a sample with their labels."""
-    texts = docs.select("doc_id", F.md5("text").alias("key"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+def training_rows(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """``key, toxic, family, text`` of a sample; texts are whole."""
+    texts = docs.select("doc_id", F.md5("text").alias("key"), "text")
     rows = texts.join(F.broadcast(sample), ["doc_id", "key"]).dropDuplicates(["key"])
-    return [(r.text, r.toxic) for r in sorted(rows.collect(), key=lambda r: (r.doc_id, r.toxic, r.key))]
+    rows = rows.select("key", F.col("toxic").cast("int").alias("toxic"), "text")
+
+    def run(row):
+        yield [row["key"]], [row["toxic"]], [family(row["text"].lower().split())], [row["text"]]
+
+    return stored(text_rows(rows, run, "key string, toxic int, family long, text string"), "training-rows")
 
 
 def train(docs: DataFrame, labels: DataFrame, quotas: tuple[int, int] = (ORDINARY_SAMPLE, TOXIC_SAMPLE)) -> Model:
     """A model fitted on at most ``quotas`` ordinary and toxic texts, calibrated to the rate of all."""
     prepared(docs.sparkSession)
     sample, offset = training_sample(docs, labels, quotas)
-    rows = training_rows(docs, sample)
-    random.Random(0).shuffle(rows)
-    return fit(rows, offset)
+    return fit(training_rows(docs, sample), offset)
 
 
 def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -304,3 +403,7 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
 
 def load(data: bytes) -> Scorer:
     return Scorer(pickle.loads(data))
+
+
+def load_all(data: bytes) -> list[Scorer]:
+    return [Scorer(model) for model in pickle.loads(data)]

@@ -363,6 +363,23 @@ def test_toxicity_learns_rare_words_and_phrases(documents, spark):
     assert phrase.encode() in model.toxic
 
 
+def test_toxicity_learns_from_whole_texts(documents, spark):
+    rng = random.Random(7)
+    usual = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    given, labelled = [], []
+    for k in range(160):
+        words = [rng.choice(usual) for _ in range(2000)]
+        if k % 4 == 0:  # behind 10,000 characters
+            words[1900:1990:20] = ["horrible"] * 5
+        given.append((k, " ".join(words)))
+        labelled.append((k, int(k % 4 == 0)))
+    docs = documents(given)
+    model = toxicity.train(docs, spark.createDataFrame(labelled, "doc_id long, toxic int"))
+    assert b"horrible" in model.toxic
+    got = toxicity.toxicity(docs, model).filter(toxicity.is_held_out(F.col("doc_id"))).collect()
+    assert all(r.predicted == (r.doc_id % 4 == 0) for r in got)
+
+
 def test_pipeline(spark, tmp_path, mixed, empty):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
