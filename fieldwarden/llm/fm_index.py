@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from fieldwarden.llm.common import (
     find_words,
     prepared,
     span_hashes,
+    stored,
     text_bytes,
     unpacked,
 )
@@ -281,52 +283,101 @@ def find_passages(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
     return rows
 
 
+SPANS = "array<struct<first:long,end:long>>"
+
+
+def without_spans(texts: pa.Array, words, hit: np.ndarray) -> dict[int, str]:
+    """The texts that hold hit words, without their spans."""
+    first, end = spans_of(hit, words)
+    cuts = defaultdict(list)
+    for a, b in zip(first.tolist(), end.tolist(), strict=True):
+        cuts[int(words.doc[a])].append((int(words.first[a]), int(words.end[b - 1])))
+    begin = text_bytes(texts)[1]
+    out = {}
+    for doc, ranges in cuts.items():
+        data, keep, at = texts[doc].as_py().encode(), [], 0
+        for a, b in ranges:
+            keep.append(data[at : a - begin[doc]])
+            at = b - begin[doc]
+        out[doc] = b"".join([*keep, data[at:]]).decode()
+    return out
+
+
+def with_texts(batch: pa.RecordBatch, changed: dict[int, str], **flags) -> pa.RecordBatch:
+    """A batch with other texts, marked as cut, and the given columns."""
+    texts, cut = batch.column("text").to_pylist(), batch.column("_cut").to_pylist()
+    for i, text in changed.items():
+        texts[i], cut[i] = text, True
+    for name, values in {"text": texts, "_cut": cut, **flags}.items():
+        at = batch.schema.get_field_index(name)
+        field = batch.schema.field(at)
+        batch = batch.set_column(at, field, pa.array(values, field.type))
+    return batch
+
+
+def cut_in_rounds(rows: DataFrame, blocks: list) -> DataFrame:
+    """Rows without the passages of several blocks.
+
+    A round finds the spans of all blocks on the same texts and cuts them
+    merged; the next one searches the texts that were cut.
+    """
+    finished = []
+    while True:
+        rows = rows.withColumns({"_spans": F.lit(None).cast(SPANS), "_open": F.lit(False)})
+        for k, block in enumerate(blocks):
+
+            def run(batch, block=block, last=k == len(blocks) - 1):
+                texts = batch.column("text")
+                words, hit, _ = search_batch(texts, unpacked(block, pickle.loads))
+                for doc, spans in enumerate(batch.column("_spans").to_pylist()):
+                    for s in spans or []:
+                        hit[words.bounds[doc] + s["first"] : words.bounds[doc] + s["end"]] = True
+                if last:
+                    changed = without_spans(texts, words, hit)
+                    empty = [None] * batch.num_rows
+                    return with_texts(batch, changed, _spans=empty, _open=[i in changed for i in range(batch.num_rows)])
+                spans = [[] for _ in range(batch.num_rows)]
+                for a, b in zip(*(x.tolist() for x in spans_of(hit, words)), strict=True):
+                    doc = int(words.doc[a])
+                    spans[doc].append({"first": a - int(words.bounds[doc]), "end": b - int(words.bounds[doc])})
+                return with_texts(batch, {}, _spans=spans)
+
+            rows = each_batch(rows, run, rows.schema)
+        rows = stored(rows, "passages")
+        finished.append(rows.filter(~F.col("_open")).drop("_spans", "_open"))
+        rows = rows.filter("_open").drop("_spans", "_open")
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, finished)
+
+
+def cut_in_place(rows: DataFrame, block) -> DataFrame:
+    """Rows without the passages of the only block, searched until nothing is found."""
+
+    def run(batch):
+        texts, changed, open_ = batch.column("text"), {}, np.arange(batch.num_rows)
+        while len(open_):
+            words, hit, _ = search_batch(texts, unpacked(block, pickle.loads))
+            now = without_spans(texts, words, hit)
+            changed.update({int(open_[i]): text for i, text in now.items()})
+            open_ = open_[sorted(now)]
+            texts = pa.array([now[i] for i in sorted(now)], texts.type)
+        return with_texts(batch, changed)
+
+    return each_batch(rows, run, rows.schema)
+
+
 def remove_passages(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the passages, and without documents that have no word left.
 
-    A span is cut from its first to its last hit word; the text is searched
-    again until nothing is found, as words that become neighbours may form
-    another window. Documents that hold no passage stay as they are, also empty
+    A span is cut from its first to its last hit word, merged over all blocks of
+    the benchmark; the text is searched again for all of it until nothing is
+    found, as words that become neighbours may form another window. Documents that hold no passage stay as they are, also empty
     and null ones. ``n_chars``, if there, is set anew for texts that were cut.
     """
     prepared(docs.sparkSession)
+    blocks = benchmark_blocks(bench, block_bytes, window)
     rows = docs.withColumn("_cut", F.lit(False))
-    schema = rows.schema
-    for block in benchmark_blocks(bench, block_bytes, window):
-
-        def run(batch, block=block):
-            column = batch.schema.get_field_index("text")
-            texts = batch.column(column)
-            changed, open_ = {}, np.arange(batch.num_rows)
-            while len(open_):
-                words, hit, _ = search_batch(texts.take(pa.array(open_)), unpacked(block, pickle.loads))
-                now = [changed.get(i, None) or (texts[i].as_py() or "").encode() for i in open_.tolist()]
-                first, end = spans_of(hit, words)
-                begin = np.concatenate([[0], np.cumsum([len(x) for x in now])])
-                cuts = defaultdict(list)
-                for a, b in zip(first.tolist(), end.tolist(), strict=True):
-                    doc = int(words.doc[a])
-                    cuts[doc].append((int(words.first[a] - begin[doc]), int(words.end[b - 1] - begin[doc])))
-                for doc, ranges in cuts.items():
-                    data, keep, at = now[doc], [], 0
-                    for a, b in ranges:
-                        keep.append(data[at:a])
-                        at = b
-                    changed[int(open_[doc])] = b"".join([*keep, data[at:]])
-                open_ = np.array(sorted(int(open_[d]) for d in cuts), np.int64)
-                if len(open_):
-                    fresh = texts.to_pylist()
-                    for i, data in changed.items():
-                        fresh[i] = data.decode()
-                    texts = pa.array(fresh, texts.type)
-            mark = batch.schema.get_field_index("_cut")
-            flags = batch.column(mark).to_pylist()
-            for i in changed:
-                flags[i] = True
-            batch = batch.set_column(column, batch.schema.field(column), texts)
-            return batch.set_column(mark, batch.schema.field(mark), pa.array(flags))
-
-        rows = each_batch(rows, run, schema)
+    rows = cut_in_place(rows, blocks[0]) if len(blocks) == 1 else cut_in_rounds(rows, blocks)
     # what is left of a document that was cut must hold a word
     rows = rows.filter(~F.col("_cut") | F.col("text").rlike(r"[0-9A-Za-z[^\x00-\x7F]]"))
     if "n_chars" in docs.columns:

@@ -129,6 +129,21 @@ def test_passages_are_cut_out(documents, spark):
     assert got == {1: ("Before. , after", 15, "x"), 3: ("clean text", 10, "x"), 4: (None, 0, "x")}
 
 
+def test_cut_passages_do_not_depend_on_blocks(documents, spark):
+    rng = random.Random(8)
+    items = [" ".join(rng.choice("abcdef") for _ in range(5)) for _ in range(12)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    given = [(k, " ".join(rng.choice("abcdefg") for _ in range(150))) for k in range(60)]
+    given += [(100, None), (101, ""), (102, items[0])]
+    docs = documents(given, "doc")
+
+    def cut(block_bytes):
+        return sorted(map(str, fm_index.remove_passages(docs, bench, 3, block_bytes).collect()))
+
+    whole = cut(1 << 20)
+    assert sum("g" in r for r in whole) >= 60 and cut(30) == whole and cut(60) == whole
+
+
 def test_passages_like_brute_force():
     rng = random.Random(4)
     for _ in range(60):
