@@ -45,7 +45,11 @@ def encode(
     hash_bits: int,
     column_type_from: str = COLUMN_TYPE_FROM,
 ) -> DataFrame:
-    """Add one vector of the wide slots and hashed 3-grams of the given fields."""
+    """Add one vector of the wide slots and hashed 3-grams of the given fields.
+
+    A bag of 3-grams has no fixed length, so whole texts are hashed; only the
+    fixed-size vectors are cut at ``MAX_LEN``.
+    """
     texts = [f for f in fields if f in MAX_LEN]
     cleaned = {
         f"_c_{f}": clean_text(F.coalesce(F.col(f), F.lit(""))) if f in df.columns else F.lit("")
@@ -54,9 +58,8 @@ def encode(
     wide = array_to_vector(wide_features(df.columns, column_type_from, fields))
     out = df.withColumns({**cleaned, "_wide": wide})
 
-    capped = {f: F.substring(f"_c_{f}", 1, MAX_LEN[f]) for f in texts}
     out = out.withColumns(
-        {f"_m_{f}": F.concat(F.lit(PAD_MARK), c, F.lit(EOS_MARK)) for f, c in capped.items()}
+        {f"_m_{f}": F.concat(F.lit(PAD_MARK), F.col(f"_c_{f}"), F.lit(EOS_MARK)) for f in texts}
     )
 
     def own(f: str) -> Column:

@@ -136,3 +136,10 @@ def test_perceptron_on_wide_features(generated, spark):
     df = meta.withColumn("_wide", array_to_vector(wide_features(meta.columns)))
     model = learn.perceptron([4], max_iter=3).fit(df)
     assert model.transform(df).filter("_predicted between 0 and 7").count() == df.count()
+
+
+def test_long_texts_are_hashed_whole(spark):
+    start = "a" * 60
+    rows = spark.createDataFrame([(f"{start}{end}",) for end in ("xyz", "zyx")], "column_value string")
+    first, second = (r[learn.VALUE_VECTOR] for r in learn.encode_values(rows).collect())
+    assert first != second
