@@ -7,14 +7,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldwarden.session import stored, tune
 
 BATCH_BYTES = 4 << 20  # of texts that a Python worker holds as one Arrow batch
 
-__all__ = ["each_batch", "prepared", "stored"]
+__all__ = ["each_batch", "placed", "prepared", "same", "stored"]
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -199,3 +199,47 @@ def shingle_sets(raw, bounds, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
 def list_array(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))
+
+
+# ---- places of rows within a group ---------------------------------------------
+
+
+def same(a: DataFrame, b: DataFrame, *names: str):
+    """Equal names in both, null being a value like any other."""
+    match = F.lit(True)
+    for name in names:
+        match = match & a[name].eqNullSafe(b[name])
+    return match
+
+
+def placed(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``rows`` with ``pos``, the place of a row in its group from 0, and ``n``, the group's size.
+
+    Rows are ordered by the given columns (null first), equal ones by where they
+    stand in the input. No group has to fit a task: all rows are cut into ranges
+    of (group, order), a hot group into many, and the counts of these ranges,
+    one row per range and group, give the offsets. ``rows`` is evaluated twice,
+    so it should be a stored table or a plain projection of one; the order
+    should be short, as the bounds of the ranges are drawn from it.
+    """
+    keys = [group, *order, "_uid"]
+    given = rows.withColumn("_uid", F.monotonically_increasing_id())
+    ranged = given.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranged = ranged.withColumn("_place", F.monotonically_increasing_id())
+    ranged = stored(ranged.withColumn("_range", F.shiftright("_place", 33)), "ranges")
+    spans = ranged.groupBy("_range", group).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    whole = Window.partitionBy(group)
+    earlier = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stored(
+        spans.select(
+            "_range",
+            group,
+            (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_offset"),
+            F.sum("_rows").over(whole).alias("n"),
+        ),
+        "offsets",
+    )
+    joined = ranged.join(offsets, same(ranged, offsets, "_range", group))
+    return joined.select(
+        *[ranged[c] for c in rows.columns], (F.col("_place") + F.col("_offset")).alias("pos"), "n"
+    )
