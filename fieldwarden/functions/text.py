@@ -7,7 +7,6 @@ normalisation could touch are sent there; the others travel as nulls.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pyarrow as pa
@@ -171,17 +170,12 @@ def split_num(text: Column, num_to_digits: bool = True) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
 
-def tokenize(cleaned: Column, lexicon: list[str] | None = None) -> Column:
+def tokenize(cleaned: Column) -> Column:
     """Tokens of a cleaned text: digits, lower-case words, punctuation, ideographs.
 
-    With a lexicon the longest known word at each place comes first, which
-    keeps Chinese words whole and parts English words that are run together.
+    ``operators.segmentation`` splits by the words of a lexicon.
     """
-    pattern = TOKEN
-    if lexicon:
-        words = sorted({w.lower() for w in lexicon if w}, key=lambda w: (-len(w), w))
-        pattern = "(" + "|".join([*map(re.escape, words), TOKEN[1:]])
-    return F.regexp_extract_all(F.lower(cleaned), F.lit(pattern), F.lit(1))
+    return F.regexp_extract_all(F.lower(cleaned), F.lit(TOKEN), F.lit(1))
 
 
 def characters(cleaned: Column) -> Column:

@@ -134,15 +134,6 @@ def test_tokenize(spark):
     ]
 
 
-def test_tokenize_with_a_lexicon(spark):
-    lexicon = ["中文", "还是", "this", "is", "also", "english", "text"]
-    df = column(spark, ["我是中文thisisenglishtext我还是中文this is also english-text", "我是中文thisis123englishtext"])
-    assert values(df, tx.tokenize(tx.clean_text(F.col("t")), lexicon)) == [
-        "我 是 中文 this is english text 我 还是 中文 this is also english text".split(),
-        "我 是 中文 this is 1 2 3 english text".split(),
-    ]
-
-
 def test_sequences_around_the_cap(spark):
     ids = {"A": 3, "中": 4, "\U00020000": 5, " ": 6}
     table = tx.id_table(ids)

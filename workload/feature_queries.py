@@ -19,6 +19,7 @@ from fieldwarden.functions.vocab import (
 from fieldwarden.operators import dictionary as dic
 from fieldwarden.operators.balance import clean_labels, split_stratified
 from fieldwarden.operators.features import dataset_features
+from fieldwarden.operators.segmentation import lexicon, lexicon_word_counts
 from fieldwarden.session import shared_dir, spread_small, stored
 from fieldwarden.sources.store import build_or_reuse_dictionary, read_features, write_features, write_splits
 from workload import sql
@@ -79,6 +80,43 @@ def word_counts(t: Tables):
     return dic.word_counts(spread_small(t.f_text))
 
 
+# the words of conversations and questions are the lexicon, documents are taken apart by it
+LEXICON_TEXTS = "(SELECT text FROM @conversations@ UNION ALL SELECT text FROM @benchmark@)"
+SPLIT_COUNTS = f"""WITH RECURSIVE seen AS (
+    SELECT token AS word, n FROM ({counted(f"regexp_extract_all(lower({sql.clean('text')}), '[a-z]+|[{sql.HAN}]')", LEXICON_TEXTS)})
+    WHERE length(token) <= 24 AND n >= 3),
+  total AS (SELECT CAST(sum(n) AS DOUBLE) AS total FROM seen),
+  words AS (SELECT word, CAST(round(ln(total / n) * 1000) AS BIGINT) AS cost FROM seen, total),
+  unknown AS (SELECT greatest(CAST(round(ln(total) * 1000) AS BIGINT), 2303) AS once FROM total),
+  runs AS (SELECT token AS run, n FROM ({counted(f"regexp_extract_all(lower({sql.clean('text')}), '[0-9]|[a-z]+|[(),!?''\"]')", "@documents@")})),
+  letters AS (SELECT run FROM runs WHERE run[1] BETWEEN 'a' AND 'z'),
+  parts AS (SELECT run, start, start + size AS stop, run[start + 1:start + size] AS word, size
+    FROM (SELECT run, start, unnest(range(1, length(run) - start + 1)) AS size
+      FROM (SELECT run, unnest(range(length(run))) AS start FROM letters))),
+  edges AS (SELECT run, stop, list(struct_pack(start := start, word := word, cost := cost)) AS ways FROM (
+    SELECT run, start, stop, word, cost FROM parts JOIN words USING (word)
+    UNION ALL SELECT run, start, stop, word, once + 2303 * (size - 1) FROM parts, unknown) GROUP BY run, stop),
+  best AS (SELECT run, 0 AS stop, [struct_pack(cost := CAST(0 AS BIGINT), n := 0, start := CAST(0 AS BIGINT), path := CAST([] AS VARCHAR[]))] AS states FROM letters
+    UNION ALL SELECT b.run, b.stop + 1, list_append(states, list_min(list_transform(ways, lambda w: struct_pack(
+      cost := states[w.start + 1].cost + w.cost, n := states[w.start + 1].n + 1, start := w.start,
+      path := list_append(states[w.start + 1].path, w.word)))))
+    FROM best b JOIN edges e ON e.run = b.run AND e.stop = b.stop + 1),
+  apart AS (SELECT run, states[length(run) + 1].path AS path FROM best WHERE stop = length(run))
+  SELECT token, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT unnest(path) AS token, n FROM apart JOIN runs USING (run)
+    UNION ALL SELECT run, n FROM runs WHERE run NOT IN (SELECT run FROM letters)) GROUP BY token"""
+
+
+def text_lexicon(t: Tables):
+    texts = t.conversations.select("text").unionByName(t.benchmark.select("text"))
+    return lexicon(dic.word_counts(texts), least=3)
+
+
+@query("word_counts_lexicon", SPLIT_COUNTS)
+def word_counts_lexicon(t: Tables):
+    return lexicon_word_counts(t.documents, text_lexicon(t))
+
+
 def ranked(counts: str, order: str, kind: str) -> str:
     return f"""SELECT token, CAST(row_number() OVER (ORDER BY n DESC, {order}) + 2 AS {kind}) AS id, n FROM ({counts})
       UNION ALL SELECT '<PAD>', 0, 0 UNION ALL SELECT '<UNK>', 1, 0 UNION ALL SELECT '<EOS>', 2, 0"""
