@@ -13,6 +13,7 @@ from fieldwarden.llm import (
     line_dedup,
     merkle,
     packing,
+    pii,
     range_join,
     ring,
     snapshots,
@@ -94,6 +95,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(table(spark, sf_dir, "documents"))
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations")
     return turn_repair.repair_digest(given, turn_repair.damaged(given))
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_range_join,
         op10_hyperminhash,
         op11_merkle,
+        op12_pii,
         op13_turn_repair,
     )
 }
