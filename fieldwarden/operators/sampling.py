@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldwarden.functions.crypto import decrypt
 from fieldwarden.functions.vocab import KEY
@@ -22,6 +23,20 @@ from fieldwarden.operators.selection import (
 # same order is cut by counts, so the rows are the same on both sides
 SMALL_SAMPLE = 1000
 
+TRAINING_ROW = T.StructType(
+    [
+        T.StructField(name, T.StringType())
+        for name in (
+            "stage_table_name",
+            "stage_column_name",
+            "column_value",
+            "column_is_sensitive",
+            "column_sensitive_type",
+        )
+    ]
+)
+
+
 def column(name: str) -> Column:
     """A column by its exact name, whatever characters it holds."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -5,16 +5,18 @@ from __future__ import annotations
 import secrets
 from functools import lru_cache
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldwarden.functions.crypto import decrypt, encrypt, protect_by_class
 from fieldwarden.functions.vocab import KEY, META_FIELDS, VALUE_FIELDS
 from fieldwarden.operators import catalog, sampling
 from fieldwarden.operators.joining import value_with_meta
-from fieldwarden.plans.training_data import training_rows
+from fieldwarden.plans.training_data import training_rows, write_all
 from fieldwarden.session import shared_dir
 from fieldwarden.sources import delimited, logs
 from fieldwarden.sources.extracts import extract_long
+from fieldwarden.sources.ledger import read_ledger
 from workload import sql
 from workload.registry import Tables, query
 
@@ -195,6 +197,43 @@ def sampled_training_rows(t: Tables):
     return training_rows(lambda name: getattr(t, name), WIDE, WIDE_KEYS, size=100, day="2018-07-01", seed=7)
 
 
+def written_rows(t: Tables) -> str:
+    """The rows of all tables, written by two runs; a table that breaks while it is read is left out."""
+    path, broken = shared_dir(t.spark, "training-rows"), shared_dir(t.spark, "broken")
+    t.region.write.parquet(broken)
+
+    def open_table(name: str) -> DataFrame:
+        if name == "region":
+            rows = t.spark.read.parquet(broken)
+            return rows.withColumn("r_name", F.raise_error(F.concat(F.lit("broken: "), "r_name")).cast("string"))
+        return getattr(t, name)
+
+    registry = {"region": {"r_name": None}, **WIDE}
+    for _ in range(2):
+        write_all(open_table, registry, WIDE_KEYS, path, size=100, seed=7)
+    return path
+
+
+SAMPLED = " UNION ALL ".join(cells(sampled(t, 100, 7), t) for t in WIDE)
+
+
+@query("write_training_rows", SAMPLED)
+def write_training_rows(t: Tables):
+    return t.spark.read.parquet(written_rows(t)).select(
+        "stage_table_name", "stage_column_name", "column_value", "column_is_sensitive", "column_sensitive_type"
+    )
+
+
+@query(
+    "extraction_ledger",
+    f"""SELECT stage_table_name AS table_name, 'done' AS state, count(*) AS n_rows, CAST(1 AS INT) AS attempt
+      FROM ({SAMPLED}) GROUP BY 1 UNION ALL SELECT 'region', 'failed', NULL, 2""",
+)
+def extraction_ledger(t: Tables):
+    ledger = read_ledger(t.spark, f"{written_rows(t)}_ledger")
+    return ledger.select("table_name", "state", "n_rows", "attempt")
+
+
 @query("extract_long", cells("customer", "customer") + " UNION ALL " + cells("supplier", "supplier"))
 def extract_files_long(t: Tables):
     directory = shared_dir(t.spark, "extracts")
