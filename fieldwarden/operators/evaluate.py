@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldwarden.functions.encoders import class_name
@@ -154,3 +154,38 @@ def binary_log_loss(
 ) -> DataFrame:
     """Mean sigmoid cross-entropy; positives weigh ``positive_weight``."""
     return mean_losses(df, {"": binary_row_loss(label, probability, positive_weight, floor)}).drop("kind")
+
+
+def threshold_curve(rows: DataFrame, label: str, score: str, bins: int = 1000) -> DataFrame:
+    """``threshold, n_accepted, n_right, precision, recall, coverage`` at every threshold that occurs.
+
+    ``label`` is 0 or 1; a row is accepted from its score on, scores counted in
+    ``bins`` steps. One histogram, whose size is fixed, and prefix sums over it.
+    """
+    step = F.least(F.floor(F.col(score) * bins), F.lit(bins)).cast("long")
+    counts = rows.filter(F.col(score).isNotNull()).groupBy(step.alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("hits")
+    )
+    above = Window.orderBy(F.col("bin").desc())
+    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    summed = counts.select(
+        "bin",
+        F.sum("n").over(above).alias("n_accepted"),
+        F.sum("hits").over(above).alias("n_right"),
+        F.sum("n").over(whole).alias("n_rows"),
+        F.sum("hits").over(whole).alias("n_positive"),
+    )
+    return summed.select(
+        (F.col("bin") / bins).alias("threshold"),
+        "n_accepted",
+        "n_right",
+        (F.col("n_right") / F.col("n_accepted")).alias("precision"),
+        F.coalesce(F.try_divide("n_right", "n_positive"), F.lit(0.0)).alias("recall"),
+        (F.col("n_accepted") / F.col("n_rows")).alias("coverage"),
+    )
+
+
+def choose_threshold(curve: DataFrame, precision: float) -> float | None:
+    """The threshold of the widest coverage at which enough of what is accepted is right."""
+    good = curve.filter(F.col("precision") >= precision)
+    return good.agg(F.max_by("threshold", "n_accepted").alias("threshold")).first().threshold

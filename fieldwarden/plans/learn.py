@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from fieldwarden.functions.encoders import binary_weights, class_weight, class_weights
 from fieldwarden.functions.text import EOS_MARK, PAD_MARK, clean_text
-from fieldwarden.functions.vocab import CLASSES, DEEP_LAYOUT, KEY, MAX_LEN, WIDE_LAYOUT, WIDE_SIZE
+from fieldwarden.functions.vocab import CLASSES, KEY, MAX_LEN, WIDE_LAYOUT
 from fieldwarden.operators.evaluate import accuracy, classification_report
 from fieldwarden.operators.features import COLUMN_TYPE_FROM, labels, wide_features
 from fieldwarden.operators.joining import META_ALIASES, attach
@@ -38,16 +38,10 @@ def grams(marked: Column) -> Column:
     return F.regexp_extract_all(marked, F.lit("(?s)(?=(.{3}))"), F.lit(1))
 
 
-def encode(
-    df: DataFrame,
-    fields: list[str],
-    output: str,
-    hash_bits: int,
-    column_type_from: str = COLUMN_TYPE_FROM,
-) -> DataFrame:
-    """Add one vector of the wide slots and hashed 3-grams of the given fields.
+def with_grams(df: DataFrame, fields: list[str], column_type_from: str = COLUMN_TYPE_FROM) -> DataFrame:
+    """Add the wide slots (``_wide``) and the 3-grams (``_grams``) of the given fields.
 
-    A bag of 3-grams has no fixed length, so whole texts are hashed; only the
+    A bag of 3-grams has no fixed length, so whole texts are taken; only the
     fixed-size vectors are cut at ``MAX_LEN``.
     """
     texts = [f for f in fields if f in MAX_LEN]
@@ -75,7 +69,18 @@ def encode(
             F.array(F.concat(F.lit(f"{f}="), F.char_length(marked).cast("string"))),
         )
 
-    out = out.withColumn("_grams", F.concat(*[own(f) for f in texts]))
+    return out.withColumn("_grams", F.concat(*[own(f) for f in texts])).select(*df.columns, "_wide", "_grams")
+
+
+def encode(
+    df: DataFrame,
+    fields: list[str],
+    output: str,
+    hash_bits: int,
+    column_type_from: str = COLUMN_TYPE_FROM,
+) -> DataFrame:
+    """Add one vector of the wide slots and hashed 3-grams of the given fields."""
+    out = with_grams(df, fields, column_type_from)
     hasher = HashingTF(inputCol="_grams", outputCol="_hashed", numFeatures=1 << hash_bits)
     joined = VectorAssembler(inputCols=["_wide", "_hashed"], outputCol=output)
     return joined.transform(hasher.transform(out)).select(*df.columns, output)
@@ -123,21 +128,6 @@ def classifier(
     return Pipeline(stages=[joined, estimator])
 
 
-def perceptron(hidden: list[int], max_iter: int = 60, label: str = "class_id") -> Pipeline:
-    """Feed-forward layers over the wide vector alone (``_wide``); it takes no weights."""
-    estimator = MultilayerPerceptronClassifier(
-        featuresCol="_wide",
-        labelCol=label,
-        predictionCol="_predicted",
-        probabilityCol="_probability",
-        rawPredictionCol="_raw",
-        layers=[WIDE_SIZE, *hidden, len(CLASSES)],
-        maxIter=max_iter,
-        seed=0,
-    )
-    return Pipeline(stages=[estimator])
-
-
 def train(
     rows: DataFrame,
     label: str = "class_id",

@@ -6,15 +6,16 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import MultilayerPerceptronClassificationModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldwarden.functions.encoders import class_name
 from fieldwarden.functions.rules import keyword_class, rule_class_id
-from fieldwarden.functions.vocab import KEY, STATUS_OK
+from fieldwarden.functions.vocab import CLASSES, KEY, STATUS_OK
 from fieldwarden.operators.joining import META_ALIASES, attach
-from fieldwarden.operators.voting import gather_predictions, vote, vote_in_row
-from fieldwarden.plans import learn
+from fieldwarden.operators.voting import FLAGS, gather_predictions, vote, vote_in_row
+from fieldwarden.plans import learn, network
 from fieldwarden.sources.requests import explode_request_values, listed_values, request_fields, validate_requests
 
 RESULT = ["status", "error_msg", "label", "raw_label", "probability", "predictions"]
@@ -28,22 +29,42 @@ class Predictor:
     sees that column and a value and adds ``prediction``.
     Where an expression over ``carried`` and a value does it, ``of_value`` is
     that expression, and a request's list is scored without leaving its row.
+    ``names`` are those of the predicted classes.
     """
 
     prepare: Callable[[DataFrame], DataFrame]
     predict: Callable[[DataFrame], DataFrame]
     carried: str
     of_value: Callable[[Column], Column] | None = None
+    names: tuple[str, ...] = tuple(CLASSES)
 
 
-def by_model(model: PipelineModel) -> Predictor:
+def by_model(model: PipelineModel, binary: bool = False) -> Predictor:
+    """A linear model of the classes, or of the binary flag."""
     return Predictor(
         learn.encode_meta,
         lambda rows: learn.predict(model, learn.encode_values(rows)),
         learn.META_VECTOR,
+        names=tuple(FLAGS if binary else CLASSES),
     )
 
 
+def by_network(
+    branches: network.Branches, model: MultilayerPerceptronClassificationModel, threshold: float | None = None
+) -> Predictor:
+    """A network; with a ``threshold`` a binary one, sensitive from that probability on."""
+
+    def predict(rows: DataFrame) -> DataFrame:
+        out = network.predict(model, network.both_branches(learn.encode_values(rows), branches))
+        if threshold is None:
+            return out.drop("probabilities")
+        flag = (F.col("probabilities")[1] >= threshold).cast("int")
+        return out.withColumn("prediction", flag).drop("probabilities")
+
+    names = tuple(CLASSES if threshold is None else FLAGS)
+    return Predictor(learn.encode_meta, predict, learn.META_VECTOR, names=names)
+
+
 def by_rules() -> Predictor:
     """Patterns in the values, then keywords in the name and comment of the column."""
     hint = keyword_class(F.col("column_name"), F.col("column_comment"))
@@ -87,7 +108,7 @@ def score_requests(
         "status",
         "error_msg",
         F.col("_best.label").alias("label"),
-        class_name(F.col("_best.label")).alias("raw_label"),
+        class_name(F.col("_best.label"), predictor.names).alias("raw_label"),
         F.col("_best.probability").alias("probability"),
         F.when(valid, F.col("predictions")).alias("predictions"),
     )
@@ -110,7 +131,7 @@ def score_columns(
     prepared = predictor.prepare(meta.withColumnsRenamed(META_ALIASES))
     joined = attach(values, prepared.select(*KEY, *carry, predictor.carried))
     predicted = predictor.predict(joined.na.fill("", ["column_value"]))
-    return vote(predicted, [*KEY, *carry], position=position)
+    return vote(predicted, [*KEY, *carry], position=position, names=predictor.names)
 
 
 def to_json(results: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from fieldwarden.functions.vocab import KEY, REQUEST_FIELDS
 from fieldwarden.operators.features import labels
 from fieldwarden.operators.balance import split_stratified
+from fieldwarden.operators.voting import FLAGS
 from fieldwarden.plans import learn
 from fieldwarden.plans.score import by_model, by_rules, score_columns, score_requests, to_json
 from fieldwarden.sources.requests import read_requests, validate_requests
@@ -126,16 +127,13 @@ def test_binary_and_weighted_training(generated):
     assert learn.predict(balanced, rows["test"]).count() == rows["test"].count()
 
 
-def test_perceptron_on_wide_features(generated, spark):
-    from pyspark.ml.functions import array_to_vector
-
-    from fieldwarden.operators.features import wide_features
-
-    t, parts, _ = generated
-    meta = labels(parts["train"])
-    df = meta.withColumn("_wide", array_to_vector(wide_features(meta.columns)))
-    model = learn.perceptron([4], max_iter=3).fit(df)
-    assert model.transform(df).filter("_predicted between 0 and 7").count() == df.count()
+def test_votes_of_a_binary_model_have_its_names(spark, generated):
+    t, parts, rows = generated
+    predictor = by_model(learn.train(rows["train"], label="is_sensitive", max_iter=5), binary=True)
+    votes = score_columns(t.f_class_values, labels(parts["test"]), predictor, position="row_id")
+    assert {(r.label, r.raw_label) for r in votes.collect()} <= {(0, "insensitive"), (1, "sensitive")}
+    served = score_requests(spark.createDataFrame([("a", json.dumps(BODY))], "id string, body string"), predictor, "id")
+    assert served.first().raw_label in FLAGS
 
 
 def test_long_texts_are_hashed_whole(spark):
