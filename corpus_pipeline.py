@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwarden.llm import fm_index, hyperminhash, line_dedup, packing, toxicity
 from fieldwarden.llm.common import prepared, stored
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keeps_columns(stage: Stage) -> Stage:
+    """The stage with further columns of the documents under names that it cannot take for its own."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        others = [c for c in docs.columns if c not in DOCUMENT]
+        apart = {c: f"carried{i}" for i, c in enumerate(others)}
+        names = [apart.get(c, c) for c in docs.columns]
+        return stage(spark, docs.toDF(*names), sf_dir).select(*names).toDF(*docs.columns)
 
+    return run_stage
+
+
+@keeps_columns
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under the threshold."""
     labels = prepared(spark).read.parquet(f"{sf_dir}/labels.parquet")
@@ -16,6 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter(F.col("predicted") == 0).select(*docs.columns)
 
 
+@keeps_columns
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that many of them share."""
     kept = line_dedup.drop_shared_lines(docs)
@@ -25,12 +46,21 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumns({"n_chars": size, "text": text}).select(*docs.columns)
 
 
+@keeps_columns
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies."""
-    kept = hyperminhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(stored(kept, "kept"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
-
-
+    """The document with the smallest doc_id of each group of near copies; equal rows of it once."""
+    kept = hyperminhash.near_duplicates(docs).filter("kept").select("doc_id")
+    counts = stored(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
+    own = counts.select(F.col("doc_id").alias("_doc"))
+    rows = docs.join(own, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
+    # rows without an id are no copies of each other by it, so only repeated ids cost this shuffle
+    if counts.filter("n > 1 AND doc_id IS NOT NULL").isEmpty():
+        return rows
+    named, unnamed = rows.filter("doc_id IS NOT NULL"), rows.filter("doc_id IS NULL")
+    return named.dropDuplicates(["doc_id", "text"]).unionByName(unnamed)
+
+
+@keeps_columns
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
     return fm_index.remove_passages(docs, prepared(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -23,18 +23,30 @@ def line_key(line: Column) -> Column:
     return F.when(F.char_length(key) >= MIN_CHARS, F.md5(key))
 
 
-def shared_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+def long_lines(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, pos, key`` of every line that is long enough to count."""
+    keys = F.transform(lines(F.col("text")), lambda line: F.unhex(line_key(line)))
+    found = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(keys).alias("pos", "key"))
+    return found.filter(F.col("key").isNotNull())
+
+
+def shared_lines(found: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """Keys that at least ``min_documents`` documents hold: ``key, last`` (largest doc_id)."""
-    counts = line_holders(docs).groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")
-    )
+    holders = found.select("key", "doc_id").distinct()
+    counts = holders.groupBy("key").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("last"))
     return counts.filter(F.col("n") >= min_documents).select("key", "last")
 
 
-def line_holders(docs: DataFrame) -> DataFrame:
-    """One row ``doc_id, key`` for each document and key in it."""
-    keys = F.array_distinct(F.transform(lines(F.col("text")), line_key))
-    return docs.select("doc_id", F.explode(F.array_compact(keys)).alias("key"))
+def without(all_lines: Column, gone: Column) -> Column:
+    """The lines but those at the given places, which ascend: the stretches between them, in one pass."""
+    k = F.size(gone)
+
+    def stretch(j: Column) -> Column:
+        start = F.when(j == 0, 0).otherwise(F.get(gone, j - 1) + 1)
+        end = F.when(j == k, F.size(all_lines)).otherwise(F.get(gone, j))
+        return F.slice(all_lines, start + 1, end - start)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), k), stretch))
 
 
 def drop_shared_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
@@ -42,35 +54,41 @@ def drop_shared_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> Da
 
     A line whose key (white space stripped at both ends, A-Z in lower case) has
     40 code points and is held by enough documents goes, except in the largest
-    doc_id that holds it. Every row counts as a document. A null doc_id ranks
-    below all others; a key held under null ids alone stays. Null and empty
-    texts are one empty line; a text that loses all its lines is empty. No row
-    is dropped; input columns of the added names are replaced.
-
-    Only hashes and ids are shuffled for the counts. The shared keys are
-    written, so that the join by key meets two plain shuffles and adaptive
-    execution can split a line that a third of all documents hold.
+    doc_id that holds it. Rows that share a doc_id are one document; rows without
+    one are no document that counts, and lose their shared lines like others.
+    Null and empty texts are one empty line; a text that loses all its lines is
+    empty. No row is dropped; input columns of the added names are replaced.
+
+    Each text is cut and hashed once for the keys, which are written with their
+    places. Shared keys are written too, so that the join by key meets two plain
+    tables and adaptive execution can split a line that a third of all documents
+    hold. Doomed places come back to their rows by doc_id and a hash of the text,
+    as rows that agree in both lose the same lines.
     """
     prepared(docs.sparkSession)
-    shared = stored(shared_lines(docs, min_documents), "shared-lines")
+    found = stored(long_lines(docs), "long-lines")
+    shared = stored(shared_lines(found, min_documents), "shared-lines")
     doomed = (
-        line_holders(docs)
-        .join(shared, "key")
-        .filter(F.col("last").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last"))))
-        .groupBy(F.col("doc_id").alias("_doc"))
-        .agg(F.collect_set("key").alias("_doomed"))
+        found.join(shared, "key")
+        .filter(~F.col("doc_id").eqNullSafe(F.col("last")))
+        .groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
+        .agg(F.array_sort(F.collect_set("pos")).alias("_gone"))
     )
+    doomed = stored(doomed, "doomed-lines")
     added = ["kept_text", "n_lines", "n_dropped"]
-    rest = docs.select(*[c for c in docs.columns if c not in {*added, "_doc", "_doomed"}])
-    rows = rest.join(stored(doomed, "doomed-lines"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    all_lines = lines(F.col("text"))
-    kept = F.filter(
-        all_lines, lambda line: ~F.coalesce(F.array_contains("_doomed", line_key(line)), F.lit(False))
-    )
-    untouched = F.col("_doomed").isNull()
-    return rows.select(
-        *rest.columns,
-        F.when(untouched, F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
-        F.size(all_lines).cast("long").alias("n_lines"),
-        F.when(untouched, F.lit(0)).otherwise(F.size(all_lines) - F.size(kept)).cast("long").alias("n_dropped"),
+    rest = [c for c in docs.columns if c not in added]
+    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)], F.xxhash64("text").alias("_own"))
+    names = {c: f"c{i}" for i, c in enumerate(rest)}
+    text, own = F.col(names["text"]), F.col(names["doc_id"]).eqNullSafe(F.col("_doc"))
+    joined = rows.join(doomed, own & (F.col("_own") == F.col("_hash")), "left")
+    # a column of its own: a lambda would cut the text anew for each stretch
+    joined = joined.withColumn("_lines", lines(text))
+    untouched = F.col("_gone").isNull()
+    kept = F.array_join(without(F.col("_lines"), F.col("_gone")), "\n")
+    out = joined.select(
+        *names.values(),
+        F.when(untouched, F.coalesce(text, F.lit(""))).otherwise(kept),
+        F.size("_lines").cast("long"),
+        F.when(untouched, 0).otherwise(F.size("_gone")).cast("long"),
     )
+    return out.toDF(*rest, *added)

@@ -164,24 +164,25 @@ SELECT p.page_id, p.n AS payload_bytes, sha1(p.html) AS payload_digest,
 FROM p LEFT JOIN last ON p.html = last.html AND p.n >= 1000""",
     "op3_snapshots": """
 WITH t AS (SELECT conv_id, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY conv_id) AS n_turns,
-  '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10) AS turn
+  '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10) AS turn,
+  coalesce('+' || role, '-') || chr(0) || coalesce('+' || text, '-') || chr(0) AS seen
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)),
-p AS (SELECT *, string_agg(turn, '') OVER (PARTITION BY conv_id ORDER BY pos) AS prefix FROM t),
+p AS (SELECT *, string_agg(seen, '') OVER (PARTITION BY conv_id ORDER BY pos) AS prefix FROM t),
 longer AS (SELECT DISTINCT pos + 1 AS n_turns, prefix FROM p WHERE pos + 1 < n_turns),
 kept AS (SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_equal FROM p
   WHERE pos + 1 = n_turns AND (n_turns, prefix) NOT IN (SELECT n_turns, prefix FROM longer) GROUP BY n_turns, prefix)
 SELECT k.conv_id, pos // 256 AS part, k.n_turns, n_equal, string_agg(turn, '' ORDER BY pos) AS rendered
 FROM kept k JOIN t ON t.conv_id = k.conv_id GROUP BY ALL""",
     "op6_line_dedup": """
-WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM s),
+WITH s AS (SELECT row_number() OVER () AS id, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT id, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM s),
 k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
 shared AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
-m AS (SELECT k.*, shared.key IS NOT NULL AND k.doc_id <> last AS dropped FROM k LEFT JOIN shared ON k.key = shared.key)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+m AS (SELECT k.*, shared.key IS NOT NULL AND k.doc_id IS DISTINCT FROM last AS dropped FROM k LEFT JOIN shared ON k.key = shared.key)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
-FROM m GROUP BY doc_id""",
+FROM m GROUP BY id""",
     "op11_merkle": f"""
 WITH RECURSIVE d AS (SELECT *, CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS seen FROM documents),
 leaf AS (SELECT doc_id, {field_sql("lang")} AS name, lang, {leaf_sql("n_chars")} AS leaf, {leaf_sql("seen")} AS changed FROM d),

@@ -4,6 +4,7 @@ import hashlib
 import random
 import struct
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -25,6 +26,8 @@ from fieldwarden.llm import (
     toxicity,
     warc,
 )
+from fieldwarden.llm.queries import ORACLES
+from workload.compare import duckdb_rows, spark_rows
 
 LONG = " ".join(f"w{k}" for k in range(30_000))
 LINE = "This line is long enough to be counted as shared."
@@ -49,11 +52,12 @@ def bench(spark):
 
 
 def test_lines(documents, empty, rows):
-    six = [(i, f"own {i}\n  {LINE.upper()} \n{LINE}") for i in (1, 2, 3, 3, None, 9)]
-    docs = documents([*six, (10, None), (11, ""), (12, "x\n")], "kept_text").withColumn("key", F.lit(1))
+    six = [(i, f"own {i}\n  {LINE.upper()} \n{LINE}") for i in (1, 2, 3, 3, None, 9, 4)]
+    clashing = {c: F.lit(1) for c in ("key", "_doc", "_gone", "_lines", "c0")}
+    docs = documents([*six, (10, None), (11, ""), (12, "x\n")], "kept_text").withColumns(clashing)
     got = line_dedup.drop_shared_lines(docs)
     out = {(r.doc_id, r.kept_text, r.n_lines, r.n_dropped) for r in got.collect()}
-    assert got.count() == 9 and "key" in got.columns
+    assert got.count() == 10 and set(clashing) <= set(got.columns)
     assert (9, six[5][1], 3, 0) in out and (1, "own 1", 3, 2) in out and (None, "own None", 3, 2) in out
     assert {(10, "", 1, 0), (11, "", 1, 0), (12, "x\n", 2, 0)} <= out
     assert line_dedup.drop_shared_lines(empty).count() == 0
@@ -61,6 +65,42 @@ def test_lines(documents, empty, rows):
     assert {r.n_dropped for r in line_dedup.drop_shared_lines(alone).collect()} == {0}
 
 
+def test_repeated_rows_are_one_document(documents):
+    # four rows of one document and three others: four documents hold the line, not seven
+    few = documents([(i, LINE) for i in (1, 1, 1, 1, 2, 3, 4)])
+    assert {r.n_dropped for r in line_dedup.drop_shared_lines(few).collect()} == {0}
+    # a doc_id with unlike texts loses the line where it stands
+    rows = [(1, LINE), (1, f"a\n{LINE}"), (1, f"a\n{LINE}"), *((i, LINE) for i in (2, 3, 4, 5))]
+    got = sorted((r.doc_id, r.kept_text) for r in line_dedup.drop_shared_lines(documents(rows)).collect())
+    assert got == [(1, ""), (1, "a"), (1, "a"), (2, ""), (3, ""), (4, ""), (5, LINE)]
+
+
+def test_many_shared_lines_in_a_document(documents):
+    many = [f"{LINE} {k}" for k in range(20_000)]
+    mixed = [line for k, line in enumerate(many) for line in ([f"own {k}", line] if k % 2 else [line])]
+    rows = [*((i, "\n".join(many)) for i in range(5)), (-1, "\n".join(mixed))]
+    got = {r.doc_id: r for r in line_dedup.drop_shared_lines(documents(rows)).collect()}
+    assert got[4].n_dropped == 0 and got[0].kept_text == "" and got[0].n_dropped == 20_000
+    assert got[-1].kept_text == "\n".join(f"own {k}" for k in range(1, 20_000, 2))
+
+
+def test_sql_agrees_on_repeated_rows_and_nulls(spark, documents):
+    con = duckdb.connect()
+    rows = [(1, LINE), (1, LINE), (2, f"x\n{LINE}"), (3, LINE), (4, LINE), (None, LINE), (None, None), (9, LINE), (9, "")]
+    docs = documents(rows)
+    con.register("documents", docs.toPandas())
+    own = line_dedup.drop_shared_lines(docs).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+    names, ours = spark_rows(own)
+    assert (names, ours) == tuple(duckdb_rows(con, ORACLES["op6_line_dedup"]))
+    turns = [(1, 0, "u", None), (2, 0, "u", ""), (3, 0, None, "a"), (3, 1, "u", "b"), (4, 0, None, "a")]
+    talks = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    con.register("conversations", talks.toPandas())
+    names, ours = spark_rows(snapshots.collapse_snapshots(talks))
+    assert (names, ours) == tuple(duckdb_rows(con, ORACLES["op3_snapshots"]))
+
+
 def test_shards(mixed, empty):
     carry = {"doc_id": F.col("doc_id"), "cell": F.col("key")}
     got = ring.ring_shards(mixed, ["doc_id"], carry, 4).collect()
@@ -408,3 +448,66 @@ def test_pipeline(spark, tmp_path, mixed, empty):
             out.write.parquet(path)
             now = spark.read.parquet(path)
     assert corpus_pipeline.run(spark, sf).count() > 100
+
+
+OWN_NAMES = ["_doc", "_gone", "_cut", "_spans", "_open", "_lines", "kept", "score", "predicted", "kept_text", "n_dropped", "key"]
+
+
+def test_stages_keep_columns_of_any_name(spark, mixed):
+    sf = "/root/testdata/sf0.001"
+    clashing = mixed.drop("key").withColumns({c: F.lit(f"own {c}") for c in OWN_NAMES})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clashing, sf)
+        assert out.columns == clashing.columns
+        for r in out.collect():
+            assert [r[c] for c in OWN_NAMES] == [f"own {c}" for c in OWN_NAMES]
+
+
+def test_near_dedup_stage_leaves_one_row_of_a_group(spark, documents):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(7, text), (7, text), (8, text), (9, f"{text} more"), (10, "other"), (None, text), (None, "b"), (11, None)]
+    out = corpus_pipeline.drop_near_copies(spark, documents(rows), "")
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert got == sorted([(7, text), (10, "other"), (11, None), (None, text), (None, "b")], key=repr)
+
+
+def test_pipeline_against_plain_stages(spark):
+    """Each stage on its own input: what must go is gone, what is clean stays as it is."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def rows(df):
+        return {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+
+    given = rows(docs)
+    keys = {i: [k.strip(" \t\n\x0b\x0c\r").translate(ASCII_LOWER) for k in (t or "").split("\n")] for i, t in given.items()}
+    holders = {}
+    for i, ks in keys.items():
+        for k in ks:
+            if len(k) >= 40:
+                holders.setdefault(k, set()).add(i)
+    doomed = {k: max(h) for k, h in holders.items() if len(h) >= 5}
+    expected = {
+        i: t if t is None else "\n".join(x for x, k in zip(t.split("\n"), keys[i], strict=True) if doomed.get(k, i) == i)
+        for i, t in given.items()
+    }
+    assert rows(stages["line dedup"](spark, docs, sf)) == expected
+
+    kept = rows(stages["near dedup"](spark, docs, sf))
+    assert kept == {i: t for i, t in given.items() if i in kept}
+    component = {r.doc_id: r.component_id for r in hyperminhash.near_duplicates(docs).collect()}
+    assert set(kept) == {i for i, c in component.items() if i == c}
+
+    cut = rows(stages["decontamination"](spark, docs, sf))
+    hit = {r.doc_id: r.contaminated for r in fm_index.passage_digest(fm_index.find_passages(docs, bench)).collect()}
+    assert all(cut[i] == t for i, t in given.items() if not hit[i])
+    again = docs.select("doc_id").join(stages["decontamination"](spark, docs, sf).select("doc_id", "text"), "doc_id")
+    assert not any(r.contaminated for r in fm_index.passage_digest(fm_index.find_passages(again, bench)).collect())
+
+    pieces = stages["packing"](spark, docs, sf).collect()
+    assert {r.doc_id for r in pieces} == set(given)
+
+
+ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
