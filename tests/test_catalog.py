@@ -1,7 +1,9 @@
+import hmac
+
 import pytest
 from pyspark.sql import functions as F
 
-from fieldwarden.functions.crypto import encrypt
+from fieldwarden.functions.crypto import KEY_SETTING, decrypt, encrypt, protect
 from fieldwarden.functions.vocab import KEY
 from fieldwarden.operators import catalog
 from fieldwarden.operators.dictionary import char_dictionary, char_ids, count_tokens, word_dictionary
@@ -150,16 +152,41 @@ def test_decryption_needs_the_right_key(spark):
 
 
 def test_protection(spark):
-    from fieldwarden.functions.crypto import decrypt, protect
-
-    df = spark.createDataFrame([("Ab1中",)], "v string")
-    got = df.select(
-        protect(F.col("v"), "mask").alias("m"),
-        protect(F.col("v"), "sha2").alias("s"),
-        decrypt(protect(F.col("v"), "aes", KEY_TEXT), KEY_TEXT).alias("a"),
-    ).first()
-    assert got.m == "Xxn中" and len(got.s) == 64 and got.a == "Ab1中"
+    df = spark.createDataFrame([("Ab1中",), ("",), (None,)], "v string")
+    for key in (KEY_TEXT, "k" * 64, "k" * 65):
+        got = df.select(
+            protect(F.col("v"), "mask").alias("m"),
+            protect(F.col("v"), "hmac", key).alias("h"),
+            decrypt(protect(F.col("v"), "aes", KEY_TEXT), KEY_TEXT).alias("a"),
+        ).collect()
+        assert [r.m for r in got] == ["Xxn中", "", None]
+        assert [r.h for r in got] == [hmac.new(key.encode(), t.encode(), "sha256").hexdigest() for t in ("Ab1中", "")] + [None]
+        assert [r.a for r in got] == ["Ab1中", "", None]
     with pytest.raises(ValueError):
         protect(F.col("v"), "rot13")
-    with pytest.raises(ValueError):
-        protect(F.col("v"), "aes")
+    for method in ("aes", "hmac"):
+        with pytest.raises(ValueError):
+            protect(F.col("v"), method)
+
+
+def test_no_plan_shows_a_key(spark, capsys):
+    key = "s3cr3tk3ys3cr3tk"
+    df = spark.range(50).select(F.col("id").cast("string").alias("v"))
+    safe = df.select(protect(F.col("v"), "aes", key).alias("a"), protect(F.col("v"), "hmac", key).alias("h"))
+    safe = safe.filter(decrypt(F.col("a"), key) != "7")
+    before = safe._jdf.queryExecution()
+    texts = [before.toString(), before.executedPlan().toString(), before.optimizedPlan().toString()]
+    assert safe.count() == 49
+    safe.explain("extended")
+    safe.explain("formatted")
+    texts += [capsys.readouterr().out, safe._jdf.queryExecution().executedPlan().toString()]
+    texts.append(before.optimizedPlan().toJSON())
+    shown = "".join(texts)
+    block = key.encode().ljust(64, b"\0")
+    forms = [key, key.encode().hex(), *(bytes(b ^ p for b in block[:8]).hex() for p in (0x36, 0x5C))]
+    assert "hidden" in shown and not any(f.lower() in shown.lower() for f in forms)
+    assert spark._jvm.org.apache.spark.sql.internal.SQLConf.get().redactOptions(
+        spark._jvm.scala.jdk.javaapi.CollectionConverters.asScala({KEY_SETTING: key}).toMap(
+            getattr(getattr(spark._jvm, "scala.$less$colon$less$"), "MODULE$").refl()
+        )
+    ).apply(KEY_SETTING) != key
