@@ -49,6 +49,19 @@ def on_day(df: DataFrame, day: str | None) -> DataFrame:
     return df.filter(F.col("dt") == day)
 
 
+def on_listed_days(df: DataFrame, table: str, days: DataFrame) -> DataFrame:
+    """Rows of the partition dates that ``days`` (``table_name, day``) lists for a table.
+
+    The list is joined, so which partitions are read is known only at run time:
+    where it is small enough to broadcast, Spark prunes the scan by it. Without
+    an entry there are no rows; tables without ``dt`` are taken whole.
+    """
+    if "dt" not in df.columns:
+        return df
+    wanted = days.filter(F.upper("table_name") == table.upper()).select(F.col("day").alias("dt"))
+    return df.join(wanted, "dt", "left_semi").select(*df.columns)
+
+
 def is_present(value: Column) -> Column:
     """Neither null nor the text NULL."""
     return value.isNotNull() & (F.upper(value) != "NULL")

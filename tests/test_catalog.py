@@ -190,3 +190,26 @@ def test_no_plan_shows_a_key(spark, capsys):
             getattr(getattr(spark._jvm, "scala.$less$colon$less$"), "MODULE$").refl()
         )
     ).apply(KEY_SETTING) != key
+
+
+def test_listed_days_prune_the_scan_at_run_time(spark, sf_dir):
+    from workload.catalog_queries import partition_sample, partitioned
+    from workload.registry import Tables
+
+    orders, days = partitioned(Tables(spark, sf_dir))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan that runs is the plan we hold
+    try:
+        df = partition_sample(orders, days)
+        plan = df._jdf.queryExecution().executedPlan()
+        df.collect()
+        scans = plan.collectLeaves()
+        read = [scans.apply(i) for i in range(scans.size())]
+        filters = [s.toString() for s in read if "dynamicpruning" in s.toString()]
+        assert len(filters) == 1 and "PartitionFilters" in filters[0]
+        read_files = df.select("dt").distinct().count()
+        files = {s.metrics().apply("numFiles").value() for s in read if "dynamicpruning" in s.toString()}
+        assert files == {2} and read_files <= 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert partition_sample(orders, days.filter("table_name = 'none'")).count() == 0
+    assert partition_sample(orders.withColumnRenamed("dt", "x"), days).count() == 100

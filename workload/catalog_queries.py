@@ -251,6 +251,30 @@ def dated(t: Tables):
     return t.orders.select("o_orderkey", "o_custkey", "o_totalprice", year)
 
 
+def partitioned(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Orders in one folder per year, and the days that are to be read per table."""
+    path, listed = shared_dir(t.spark, "partitioned"), shared_dir(t.spark, "days")
+    by_year = dated(t).withColumn("dt", F.concat(F.lit("y"), "dt"))
+    by_year.repartition("dt").write.partitionBy("dt").parquet(path)
+    days = by_year.select(F.lit("ORDERS").alias("table_name"), F.col("dt").alias("day")).distinct()
+    others = days.withColumn("table_name", F.lit("other"))
+    days.filter("day IN ('y1995', 'y1998')").unionByName(others).write.parquet(listed)
+    return t.spark.read.parquet(path), t.spark.read.parquet(listed)
+
+
+def partition_sample(orders: DataFrame, days: DataFrame) -> DataFrame:
+    return sampling.sample_rows(sampling.on_listed_days(orders, "orders", days), 100, ["o_orderkey"], 11)
+
+
+@query(
+    "sample_partition",
+    f"""SELECT o_orderkey, o_custkey, o_totalprice, 'y' || dt AS dt FROM ({DATED}) WHERE dt IN ('1995', '1998')
+    ORDER BY {sql.hashed(11, 'o_orderkey')}, o_orderkey LIMIT 100""",
+)
+def sample_partition(t: Tables):
+    return partition_sample(*partitioned(t))
+
+
 @query(
     "sample_rows",
     f"""SELECT * FROM ({DATED}) WHERE dt = '1998'
