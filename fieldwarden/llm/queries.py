@@ -154,6 +154,12 @@ RISE = """SELECT * FROM {leaves}
 #: Steps between the states of the grammar: what is inserted or taken, and the state after it.
 GRAMMAR = """(VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) g(p, c, q)"""
 
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS_SQL = f"regexp_extract_all({LOWER_SQL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+#: From links (a, b), given both ways: the smallest node that each one reaches.
+REACH_SQL = """reach AS (SELECT a, a AS b FROM ({ids}) UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+parts AS (SELECT a, min(b) AS component FROM reach GROUP BY a)"""
+
 ORACLES: dict[str, str] = {
     "op1_warc": """
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
@@ -183,6 +189,38 @@ m AS (SELECT k.*, shared.key IS NOT NULL AND k.doc_id IS DISTINCT FROM last AS d
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
 FROM m GROUP BY id""",
+    "op4_decontaminate": f"""
+WITH item AS (SELECT item_id, {WORDS_SQL} AS ws FROM benchmark),
+windows AS (SELECT DISTINCT item_id, len(x) AS n, x FROM (SELECT item_id,
+  unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), lambda i: ws[i:i + 9])) AS x FROM item WHERE len(ws) > 0)),
+doc AS (SELECT row_number() OVER () AS id, doc_id, {WORDS_SQL} AS ws FROM documents),
+sizes AS (SELECT DISTINCT n FROM windows),
+spots AS (SELECT id, n, i, ws[i:i + n - 1] AS x FROM (SELECT id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM doc, sizes)),
+found AS (SELECT id, i, spots.n, item_id FROM spots JOIN windows ON spots.x = windows.x),
+hits AS (SELECT id, count(DISTINCT place) AS n_hit FROM (SELECT id, unnest(range(i, i + n)) AS place FROM (SELECT DISTINCT id, i, n FROM found)) GROUP BY id),
+items AS (SELECT id, count(DISTINCT item_id) AS n_items, list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))) AS items FROM found GROUP BY id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hits USING (id) LEFT JOIN items USING (id)""",
+    "op9_range_join": f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+u AS (SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS norm FROM v WHERE label IS NOT NULL AND x IS NOT NULL
+  AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+  AND list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.93),
+{REACH_SQL.format(ids="SELECT vec_id AS a FROM v")}
+SELECT v.vec_id, coalesce(n, 0) AS n_links, component AS component_id, v.vec_id = component AS kept
+FROM v JOIN parts ON parts.a = v.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) d ON d.a = v.vec_id""",
+    "op10_hyperminhash": f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE
+  list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS xs FROM w),
+e AS (SELECT doc_id, len(xs) AS n, unnest(xs) AS x FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+  WHERE 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+{REACH_SQL.format(ids="SELECT doc_id AS a FROM s")}
+SELECT doc_id, CAST(len(xs) AS BIGINT) AS n_shingles, component AS component_id, doc_id = component AS kept FROM s JOIN parts ON parts.a = s.doc_id""",
     "op11_merkle": f"""
 WITH RECURSIVE d AS (SELECT *, CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS seen FROM documents),
 leaf AS (SELECT doc_id, {field_sql("lang")} AS name, lang, {leaf_sql("n_chars")} AS leaf, {leaf_sql("seen")} AS changed FROM d),
