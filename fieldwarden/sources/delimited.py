@@ -14,8 +14,11 @@ NA_TOKENS = [
     "1.#QNAN", "N/A", "NA", "NULL", "NaN", "n/a", "nan", "null",
 ]
 
-QUOTED = r'"(?:[^"]|"")*"'
+# quoted text, doubled quotes inside; possessive, so that a long cell needs no stack
+QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
+CELL = rf"(?:{QUOTED}(?=\t|$)|[^\t]*+)"
 BROKEN = "_broken_row"
+NO_CELL = "\x01"  # stands for a separator where lines are read whole
 
 
 def string_schema(fields: list[str], *extra: str) -> T.StructType:
@@ -26,20 +29,45 @@ def null_if_missing(cell: Column, tokens: list[str] = NA_TOKENS) -> Column:
     return F.when(cell.isin(tokens), None).otherwise(cell)
 
 
-def read_tsv(
-    spark: SparkSession,
-    path: str | list[str],
-    fields: list[str],
-    na_tokens: list[str] | None = NA_TOKENS,
-    quoted_newlines: bool = True,
-) -> DataFrame:
-    """All-string rows of headed, tab-separated files.
+def cells_of(record: Column) -> Column:
+    """The cells of a record; a bare empty cell is null, a quoted one an empty text."""
+    raw = F.regexp_extract_all(F.concat(F.lit("\t"), record), F.lit(rf"\t({CELL})"), F.lit(1))
 
-    Rows with too many fields are dropped, short rows are padded with nulls and
-    missing-value cells become null. Files with quoted newlines cannot be split,
-    so give large inputs as many files, or set ``quoted_newlines=False`` where
-    no cell holds a newline.
-    """
+    def plain(cell: Column) -> Column:
+        inner = F.replace(F.substr(cell, F.lit(2), F.char_length(cell) - 2), F.lit('""'), F.lit('"'))
+        open_quote = F.raise_error(F.lit("a quoted cell holds a newline: read with quoted_newlines=True"))
+        return (
+            F.when(cell == "", F.lit(None).cast("string"))
+            .when(cell.rlike(f"^{QUOTED}$"), inner)
+            .when(cell.startswith('"'), open_quote.cast("string"))
+            .otherwise(cell)
+        )
+
+    return F.transform(raw, plain)
+
+
+def read_lines(spark: SparkSession, path: str | list[str], fields: list[str]) -> DataFrame:
+    """Rows of files whose cells hold no newline: every line is a row, so files are read in ranges."""
+    lines = spark.read.schema(string_schema(["_line"], BROKEN)).csv(
+        path,
+        sep=NO_CELL,
+        header=True,
+        quote="",
+        escape="",
+        mode="PERMISSIVE",
+        columnNameOfCorruptRecord=BROKEN,
+        enforceSchema=True,
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+    )
+    # a line that holds the stand-in is read as two cells; its raw text is whole
+    whole = lines.select(F.coalesce(BROKEN, "_line").alias("_line"))
+    rows = whole.select(cells_of(F.col("_line")).alias("_cells")).filter(F.size("_cells") <= len(fields))
+    return rows.select(*[F.get("_cells", F.lit(i)).alias(f) for i, f in enumerate(fields)])
+
+
+def read_whole_files(spark: SparkSession, path: str | list[str], fields: list[str]) -> DataFrame:
+    """Rows of files whose quoted cells may hold newlines; a file is one task."""
     rows = spark.read.schema(string_schema(fields, BROKEN)).csv(
         path,
         sep="\t",
@@ -47,7 +75,7 @@ def read_tsv(
         quote='"',
         escape='"',
         mode="PERMISSIVE",
-        multiLine=quoted_newlines,
+        multiLine=True,
         columnNameOfCorruptRecord=BROKEN,
         enforceSchema=True,
         ignoreLeadingWhiteSpace=False,
@@ -57,7 +85,25 @@ def read_tsv(
     tabs = F.char_length(F.regexp_replace(F.regexp_replace(BROKEN, QUOTED, ""), "[^\t]", ""))
     # Spark refuses to read the raw text alone, so the filter looks at a field too
     some_field = F.coalesce(F.char_length(fields[0]), F.lit(0)) >= 0
-    kept = rows.filter((F.col(BROKEN).isNull() | (tabs < len(fields))) & some_field)
+    return rows.filter((F.col(BROKEN).isNull() | (tabs < len(fields))) & some_field)
+
+
+def read_tsv(
+    spark: SparkSession,
+    path: str | list[str],
+    fields: list[str],
+    na_tokens: list[str] | None = NA_TOKENS,
+    quoted_newlines: bool = False,
+) -> DataFrame:
+    """All-string rows of headed, tab-separated files.
+
+    Rows with too many fields are dropped, short rows are padded with nulls and
+    missing-value cells become null. A large file is read by many tasks; a cell
+    that holds a newline is an error then. ``quoted_newlines=True`` reads such
+    files, each by one task.
+    """
+    read = read_whole_files if quoted_newlines else read_lines
+    kept = read(spark, path, fields)
     tokens = na_tokens if na_tokens is not None else []
     return kept.select(
         *[(null_if_missing(F.col(f), tokens) if tokens else F.col(f)).alias(f) for f in fields]

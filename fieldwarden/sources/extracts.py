@@ -4,37 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwarden.operators.sampling import TRAINING_ROW
 from fieldwarden.session import stored
+from fieldwarden.sources.delimited import QUOTED, cells_of
 
-# quoted text, doubled quotes inside; possessive, so that a long cell needs no stack
-QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
-CELL = rf"(?:{QUOTED}(?=\t|$)|[^\t]*+)"
 RECORD = rf"(?:{QUOTED}(?=[\t\n]|$)|[^\t\n]*+)(?:\t(?:{QUOTED}(?=[\t\n]|$)|[^\t\n]*+))*+"
 
 REGISTRY = "table_name string, column_name string, column_is_sensitive string, column_sensitive_type string"
 
 
-def cells_of(record: Column) -> Column:
-    """The cells of a record; a bare empty cell is null, a quoted one an empty text."""
-    raw = F.regexp_extract_all(F.concat(F.lit("\t"), record), F.lit(rf"\t({CELL})"), F.lit(1))
-
-    def plain(cell: Column) -> Column:
-        inner = F.replace(F.substr(cell, F.lit(2), F.char_length(cell) - 2), F.lit('""'), F.lit('"'))
-        open_quote = F.raise_error(F.lit("a quoted cell holds a newline: read with quoted_newlines=True"))
-        return (
-            F.when(cell == "", F.lit(None).cast("string"))
-            .when(cell.rlike(f"^{QUOTED}$"), inner)
-            .when(cell.startswith('"'), open_quote.cast("string"))
-            .otherwise(cell)
-        )
-
-    return F.transform(raw, plain)
-
-
 def read_records(spark: SparkSession, directory: str, quoted_newlines: bool = False) -> DataFrame:
     """``file, table, start, id, cells``: every record of every ``*.tsv`` below a directory.
 

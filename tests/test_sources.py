@@ -33,16 +33,37 @@ EDGES = (
 )
 
 
-def test_tsv_edges_equal_pandas(spark, tmp_path):
-    path = str(tmp_path / "edges.tsv")
+@pytest.mark.parametrize("quoted_newlines", [True, False])
+def test_tsv_edges_equal_pandas(spark, tmp_path, quoted_newlines):
+    path, options = str(tmp_path / "edges.tsv"), {"quoted_newlines": quoted_newlines}
     with open(path, "w") as f:
-        f.write(EDGES)
-    ours = delimited.read_tsv(spark, path, ["a", "b", "c"]).collect()
+        f.write(EDGES if quoted_newlines else EDGES.replace("new\nline", "one\x01line"))
+    ours = delimited.read_tsv(spark, path, ["a", "b", "c"], **options).collect()
     frame = pd.read_csv(path, sep="\t", quotechar='"', dtype=str, on_bad_lines="skip")
     theirs = [tuple(None if pd.isna(x) else x for x in row) for row in frame.itertuples(index=False)]
     assert [tuple(r) for r in ours] == theirs
     # counting alone prunes all fields and must not change which rows are dropped
-    assert delimited.read_tsv(spark, path, ["a", "b", "c"]).count() == len(theirs)
+    assert delimited.read_tsv(spark, path, ["a", "b", "c"], **options).count() == len(theirs)
+
+
+def test_a_cell_with_a_newline_needs_its_option(spark, tmp_path):
+    (tmp_path / "e.tsv").write_text(EDGES)
+    with pytest.raises(Exception, match="quoted_newlines=True"):
+        delimited.read_tsv(spark, str(tmp_path / "e.tsv"), ["a", "b", "c"]).collect()
+
+
+def test_a_large_file_is_many_tasks(spark, tmp_path):
+    lines = "".join(f'{i}\t"{"n" * 90}"\n' for i in range(30_000))
+    (tmp_path / "big.tsv").write_text("id\tnote\n" + lines)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 256 << 10)
+    try:
+        df = delimited.read_tsv(spark, str(tmp_path / "big.tsv"), ["id", "note"])
+        assert df.rdd.getNumPartitions() > 5
+        assert sorted(int(r.id) for r in df.select("id").collect()) == list(range(30_000))
+        assert df.filter(F.col("note") != "n" * 90).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_literal_reading_keeps_na_tokens(spark, tmp_path):
@@ -57,7 +78,7 @@ def test_write_and_read_back(spark, tmp_path):
     fields = ["p", "q", "r", "s", "t"]
     path = str(tmp_path / "out")
     delimited.write_tsv(spark.createDataFrame(rows, fields), path)
-    assert [tuple(r) for r in delimited.read_tsv(spark, path, fields).collect()] == rows
+    assert [tuple(r) for r in delimited.read_tsv(spark, path, fields, quoted_newlines=True).collect()] == rows
 
 
 def test_typed_meta(spark, tmp_path):
