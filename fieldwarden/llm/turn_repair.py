@@ -74,33 +74,37 @@ def is_truncated(text: Column) -> Column:
     return ~last.isin(".", "!", "?")
 
 
-def faults(turns: DataFrame) -> DataFrame:
-    """``conv_id, pos, role, text, blank, duplicate, truncated``: turns in order, each with its first fault."""
+def in_order(turns: DataFrame) -> DataFrame:
+    """``conv_id, pos, role, text``: turns with their places, ties of a number by a hash of role and text."""
     tie = F.md5(F.concat("role", F.lit(":"), "text"))
     rows = placed(turns.select("conv_id", "turn", "role", "text", tie.alias("tie")), "conv_id", ["turn", "tie"])
+    return rows.select("conv_id", "pos", "role", "text")
+
+
+def faults(rows: DataFrame) -> DataFrame:
+    """``conv_id, pos, initial, blank, duplicate, truncated``: each turn with its first fault; no text moves."""
     firsts = rows.groupBy("conv_id", "role", F.md5("text")).agg(F.min("pos").alias("at"))
     firsts = firsts.select(F.col("conv_id").alias("of"), "at")
+    text = F.col("text")
+    looks = rows.select(
+        "conv_id", "pos", F.substring("role", 1, 1).alias("initial"), is_blank(text).alias("blank"),
+        is_truncated(text).alias("cut"),
+    )
     is_first = F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("pos") == F.col("at"))
-    joined = rows.join(firsts, is_first, "left")
-    blank = is_blank(F.col("text"))
-    duplicate = ~blank & F.col("at").isNull()
-    return stored(
-        joined.select(
-            "conv_id",
-            "pos",
-            "role",
-            "text",
-            blank.alias("blank"),
-            duplicate.alias("duplicate"),
-            (~blank & ~duplicate & is_truncated(F.col("text"))).alias("truncated"),
-        ),
-        "faults",
+    duplicate = ~F.col("blank") & F.col("at").isNull()
+    return looks.join(firsts, is_first, "left").select(
+        "conv_id",
+        "pos",
+        "initial",
+        "blank",
+        duplicate.alias("duplicate"),
+        (~F.col("blank") & ~duplicate & F.col("cut")).alias("truncated"),
     )
 
 
 def letter() -> Column:
     """Role initial and fault of a turn as one of twelve letters."""
-    initial = F.substring("role", 1, 1)
+    initial = F.col("initial")
     kind = F.when(initial == "s", 0).when(initial == "u", 1).when(initial == "a", 2).otherwise(3)
     state = F.when(F.col("blank") | F.col("duplicate"), 2).when(F.col("truncated"), 1).otherwise(0)
     return F.chr(F.lit(ord("A")) + 3 * kind + state)
@@ -275,9 +279,14 @@ def chosen_states(costs: list[list[int]], ranks: list[list[int]]) -> tuple[int,
     return rest[0][START], states
 
 
+COUNTS = ("blank", "duplicate", "truncated")
+
+
 def path_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Cost and counts of each conversation, and the states before and after its blocks."""
     blocks = batch.column("blocks").to_pylist()
     costs, paths, illegal = [], [], []
+    counts = [pa.array([sum(b[c] for b in found) for found in blocks], pa.int64()) for c in COUNTS]
     for found in blocks:
         cost, states = chosen_states([b["costs"] for b in found], [b["ranks"] for b in found])
         costs.append(cost)
@@ -291,8 +300,8 @@ def path_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
     paths = [[dict(zip(("block", "before", "after", "is_last"), x, strict=True)) for x in p] for p in paths]
     return pa.RecordBatch.from_arrays(
-        [batch.column("conv_id"), pa.array(costs, pa.int64()), pa.array(illegal, pa.int64()), pa.array(paths, kind)],
-        names=["conv_id", "cost", "illegal", "path"],
+        [batch.column("conv_id"), *counts, pa.array(illegal, pa.int64()), pa.array(costs, pa.int64()), pa.array(paths, kind)],
+        names=["conv_id", *COUNTS, "illegal", "cost", "path"],
     )
 
 
@@ -357,26 +366,26 @@ def repair(turns: DataFrame, block_bits: int = BLOCK_BITS) -> Repair:
     given = turns.select(
         "conv_id", "turn", *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")]
     )
-    checked = faults(given)
-    kind = dict(checked.dtypes)["conv_id"]
-    lettered = checked.select(
-        "conv_id", F.shiftright("pos", block_bits).alias("block"), "pos", letter().alias("letter")
-    )
-    in_order = F.array_sort(F.collect_list(F.struct("pos", "letter")))
-    blocks = lettered.groupBy("conv_id", "block").agg(
-        F.array_join(F.transform(in_order, lambda x: x["letter"]), "").alias("letters")
+    rows = in_order(given)
+    kind = dict(rows.dtypes)["conv_id"]
+    checked = faults(rows).withColumn("block", F.shiftright("pos", block_bits))
+    letters = F.array_sort(F.collect_list(F.struct("pos", letter().alias("letter"))))
+    blocks = checked.groupBy("conv_id", "block").agg(
+        F.array_join(F.transform(letters, lambda x: x["letter"]), "").alias("letters"),
+        *[F.count_if(c).alias(c) for c in COUNTS],
     )
+    counted = "blank long, duplicate long, truncated long"
     blocks = stored(
         each_batch(
             blocks,
             block_rows,
-            f"conv_id {kind}, block long, letters string, costs array<long>, ranks array<int>, illegal long",
+            f"conv_id {kind}, block long, letters string, {counted}, costs array<long>, ranks array<int>, illegal long",
         ),
         "blocks",
     )
     # of the letters only the two at the borders of the blocks
     summary = F.struct(
-        "block", "costs", "ranks", "illegal",
+        "block", "costs", "ranks", "illegal", *COUNTS,
         F.left("letters", F.lit(1)).alias("letters_start"), F.right("letters", F.lit(1)).alias("letters_end"),
     )
     gathered = blocks.groupBy("conv_id").agg(F.array_sort(F.collect_list(summary)).alias("blocks"))
@@ -384,7 +393,7 @@ def repair(turns: DataFrame, block_bits: int = BLOCK_BITS) -> Repair:
         each_batch(
             gathered,
             path_rows,
-            f"conv_id {kind}, cost long, illegal long, "
+            f"conv_id {kind}, {counted}, illegal long, cost long, "
             "path array<struct<block: long, before: int, after: int, is_last: boolean>>",
         ),
         "paths",
@@ -401,27 +410,19 @@ def repair(turns: DataFrame, block_bits: int = BLOCK_BITS) -> Repair:
         ),
         "edits",
     )
-    counted = checked.groupBy("conv_id").agg(
-        *[F.count_if(c).alias(c) for c in ("blank", "duplicate", "truncated")]
-    )
-    audits = edits.groupBy("conv_id").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("block", "audit"))), lambda x: x["audit"]), ""
-        ).alias("audit")
+    parts = F.array_sort(F.collect_list(F.struct("block", "audit")))
+    audits = edits.groupBy(F.col("conv_id").alias("of")).agg(
+        F.array_join(F.transform(parts, lambda x: x["audit"]), "").alias("audit")
     )
-    conversations = (
-        counted.join(paths, same(counted, paths, "conv_id"))
-        .select(counted["*"], "illegal", "cost")
-        .alias("c")
-        .join(audits.alias("a"), F.col("c.conv_id").eqNullSafe(F.col("a.conv_id")))
-        .select("c.*", "a.audit")
+    conversations = paths.join(audits, F.col("conv_id").eqNullSafe(F.col("of"))).select(
+        "conv_id", *COUNTS, "illegal", "cost", "audit"
     )
     out = edits.select("conv_id", "block", F.posexplode("edits").alias("ord", "e")).select(
         "conv_id", "block", "ord", "e.edit", F.col("e.role").alias("given"),
-        (F.shiftleft("block", block_bits) + F.col("e.row")).alias("pos"),
+        (F.shiftleft("block", block_bits) + F.col("e.row")).alias("at"),
     )
-    taken = checked.select(F.col("conv_id").alias("of"), F.col("pos").alias("at"), "role", "text")
-    joined = out.join(taken, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("pos") == F.col("at")), "left")
+    taken = rows.select(F.col("conv_id").alias("of"), "pos", "role", "text")
+    joined = out.join(taken, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("at") == F.col("pos")), "left")
     edited = joined.select(
         "conv_id", "block", "ord", "edit",
         F.coalesce("given", "role").alias("role"), F.coalesce("text", F.lit("")).alias("text"),
