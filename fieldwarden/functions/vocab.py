@@ -8,26 +8,29 @@ PAD, UNK, EOS = "<PAD>", "<UNK>", "<EOS>"
 PAD_ID, UNK_ID, EOS_ID = 0, 1, 2
 FIRST_TOKEN_ID = 3
 
-PORTS = (
-    "1433 1521 2181 3306 3307 3308 3309 3310 3358 5088 8020 27017 27018 27019 49638 51899"
-).split()
-DATABASE_TYPES = (
-    "DEL-MYSQL FILE HBASE HIVE JDMETA JRDW JREP JRTC MONGODB MYSQL ORACLE SQLSERVER TEXT"
-).split()
-THEMES = (
-    "APP 京东商城 众筹 供应链金融 保障险 其他 农村金融 外部数据 客服 市场 支付 流量 "
-    "消费金融 理财 用户生态 财务 账户融合 风控"
-).split()
-COLUMN_TYPES = (
-    "BIGINT CHAR DATETIME DECIMAL DOUBLE INT NUMBER STRING TIMESTAMP TINYINT VARCHAR VARCHAR2"
-).split()
+PORTS = [
+    "1433", "1521", "2181", "3306", "3307", "3308", "3309", "3310", "3358", "5088", "8020", "27017",
+    "27018", "27019", "49638", "51899",
+]
+DATABASE_TYPES = [
+    "DEL-MYSQL", "FILE", "HBASE", "HIVE", "JDMETA", "JRDW", "JREP", "JRTC", "MONGODB", "MYSQL",
+    "ORACLE", "SQLSERVER", "TEXT",
+]
+THEMES = [
+    "APP", "京东商城", "众筹", "供应链金融", "保障险", "其他", "农村金融", "外部数据", "客服", "市场", "支付", "流量", "消费金融", "理财",
+    "用户生态", "财务", "账户融合", "风控",
+]
+COLUMN_TYPES = [
+    "BIGINT", "CHAR", "DATETIME", "DECIMAL", "DOUBLE", "INT", "NUMBER", "STRING", "TIMESTAMP",
+    "TINYINT", "VARCHAR", "VARCHAR2",
+]
 FLAGS = ["1", "0"]
 
 INSENSITIVE = "非敏感"
-SENSITIVE_TYPES = "卡号 固定电话 地址 姓名 手机 身份证 邮箱".split()
+SENSITIVE_TYPES = ["卡号", "固定电话", "地址", "姓名", "手机", "身份证", "邮箱"]
 # the older label table, kept for callers that still hold such labels
 LEGACY_UNKNOWN = "UNKNOWN"
-LEGACY_SENSITIVE_TYPES = "身份证 姓名 地址 手机 卡号 其他 固定电话 邮箱 京东PIN".split()
+LEGACY_SENSITIVE_TYPES = ["身份证", "姓名", "地址", "手机", "卡号", "其他", "固定电话", "邮箱", "京东PIN"]
 
 # labels that the training set leaves out
 UNCLEAN_TYPES = ["0", "1", "京东pin", "其他"]

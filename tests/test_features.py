@@ -5,6 +5,8 @@ from fieldwarden.functions.encoders import binary_weights, class_weights, percen
 from fieldwarden.functions.vocab import DEEP_SIZE, META_FIELDS, WIDE_SIZE
 from fieldwarden.operators.features import add_features, labels, split_rejects, wide_features
 
+# ---- Fixed values: published rows and the vectors they must give ----------------
+
 WIDE_ROW = {
     "column_value": "",
     "database_port": "3306",
@@ -21,9 +23,11 @@ WIDE_ROW = {
     "column_is_primary_key": "0",
     "column_allow_null": "1",
 }
-WIDE_SLOTS = {
-    6: 1, 17: 0.44, 29: 1, 34: 1, 36: 16 / 60, 37: 0.48, 44: 1, 57: 11 / 30, 58: 0.2, 61: 1, 72: 1, 76: 1,
-}
+WIDE_VECTOR = [
+    0, 0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0.44, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1, 0,
+    0, 0, 0, 1, 0, 0.266666667, 0.48, 0, 0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0,
+    0.366666667, 0.2, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1, 0, 0, 0, 1, 0, 0,
+]
 
 DEEP_ROW = {
     "column_value": "2018-07-01 10:20:02",
@@ -40,16 +44,16 @@ CHARACTERS = {
     "I": 24, "R": 25, "M": 27, "B": 28, "P": 31, "Y": 32, "K": 36, "时": 81, "条": 90, "间": 92, "白": 95,
     "新": 101, "名": 104, "卡": 130, "联": 186, "更": 245,
 }
-# start of each field's block, and its ids up to the end mark; the rest is padding
-DEEP_BLOCKS = {
-    0: [25, 8, 22, 31, 13, 32, 13, 28, 7, 8, 2],
-    25: [2],
-    35: [28, 19, 7, 27, 36, 4, 13, 22, 22, 19, 21, 8, 19, 13, 24, 7, 2],
-    95: [95, 90, 186, 104, 130, 2],
-    120: [20, 31, 21, 13, 19, 8, 4, 21, 13, 19, 8, 2],
-    150: [245, 101, 81, 92, 2],
-    180: [6, 3, 5, 9, 4, 3, 12, 4, 3, 5, 4, 5, 3, 4, 6, 3, 4, 3, 6, 2],
-}
+DEEP_VECTOR = [
+    25, 8, 22, 31, 13, 32, 13, 28, 7, 8, 2, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 2, 0, 0, 0, 0,
+    0, 0, 0, 0, 0, 28, 19, 7, 27, 36, 4, 13, 22, 22, 19, 21, 8, 19, 13, 24, 7, 2, 0, 0, 0, 0, 0, 0,
+    0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0,
+    0, 0, 0, 0, 0, 95, 90, 186, 104, 130, 2, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0,
+    0, 20, 31, 21, 13, 19, 8, 4, 21, 13, 19, 8, 2, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0,
+    0, 0, 245, 101, 81, 92, 2, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0,
+    0, 0, 6, 3, 5, 9, 4, 3, 12, 4, 3, 5, 4, 5, 3, 4, 6, 3, 4, 3, 6, 2, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0,
+    0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0,
+]
 
 
 def one_row(spark, row):
@@ -64,17 +68,12 @@ def test_sizes():
 def test_golden_wide_vector(spark):
     df = add_features(one_row(spark, WIDE_ROW), None)
     wide = df.first().wide
-    assert len(wide) == WIDE_SIZE
-    for slot, value in enumerate(wide):
-        assert value == pytest.approx(WIDE_SLOTS.get(slot, 0.0), abs=1e-6), slot
+    assert wide == pytest.approx(WIDE_VECTOR, abs=1e-6)
 
 
 def test_golden_deep_vector(spark):
     deep = add_features(one_row(spark, DEEP_ROW), CHARACTERS).first().deep
-    expected = [0] * DEEP_SIZE
-    for start, ids in DEEP_BLOCKS.items():
-        expected[start : start + len(ids)] = ids
-    assert deep == expected
+    assert deep == DEEP_VECTOR
 
 
 def test_column_type_source(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldwarden.functions.encoders import binary_weights, class_weight, class_weights
-from fieldwarden.functions.vocab import CLASSES, KEY, META_FIELDS, UNCLEAN_TYPES
+from fieldwarden.functions.vocab import CLASSES, KEY, LEGACY_CLASSES, META_FIELDS, UNCLEAN_TYPES
 from fieldwarden.operators import balance, evaluate, voting
 from fieldwarden.operators.features import labels
 from fieldwarden.operators.selection import batch_ids
@@ -138,7 +138,7 @@ def lookup(values: list[str], name: str, default: str = "-1") -> str:
 
 
 KIND = f"upper({sql.strip(chr(99) + 'oalesce(column_sensitive_type, ' + chr(39) * 2 + ')')})"
-LEGACY = "UNKNOWN 京东PIN 其他 卡号 固定电话 地址 姓名 手机 身份证 邮箱 非敏感".split()
+LEGACY = LEGACY_CLASSES
 
 
 @query(

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+from fieldwarden.functions.text import HAN_RANGES, char_class
+
 SPACE = (
     r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
-HAN = (
-    r"\x{3007}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2A6DF}"
-    r"\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2F800}-\x{2FA1F}"
-)
+HAN = char_class(HAN_RANGES)  # the fixed ranges; Java and RE2 read the same class
 
 
 def strip(x: str) -> str:
