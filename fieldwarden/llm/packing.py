@@ -20,7 +20,8 @@ from tokenizers import Tokenizer
 from fieldwarden.llm.common import each_batch, prepared, span_hashes, stored, text_bytes
 
 SEQUENCE = 2048
-SALT = 64  # groups in which the pieces of one length are numbered
+SALT = 64  # groups in which the pieces of one length are numbered, at least
+GROUP = 1 << 20  # pieces in such a group, about, where there are more
 WORDS_KEPT = 2_000_000  # encoded words that a worker remembers
 END = 0
 
@@ -275,6 +276,11 @@ def best_two_fit(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[lis
     return bins
 
 
+def salts_of(counts: dict[int, int], size: int) -> list[int]:
+    """In how many groups the pieces of each length from 0 on are numbered: more where there are very many."""
+    return [max(SALT, counts.get(length, 0) // GROUP + 1) for length in range(size + 1)]
+
+
 def slots(bins: list[tuple[list[int], int]]) -> list[dict]:
     """For each bin and length: which of the pieces of that length it takes, and where."""
     rank: Counter = Counter()
@@ -299,17 +305,20 @@ def pack(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
     place. No pieces, no rows.
     """
     spark = prepared(pieces.sparkSession)
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALT)).cast("int")
+    counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # a folded split keeps the plan at one literal
+    salts = ",".join(str(n) for n in salts_of(counts, size))
+    groups_of = F.get(F.split(F.lit(salts), ",").cast("array<int>"), F.col("length").cast("int"))
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), groups_of).cast("int")
     salted = pieces.withColumn("_salt", salt)
     groups = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    # size * SALT rows at most
+    # size * SALT rows and one more per GROUP pieces, at most
     offsets = groups.select(
         F.col("length").alias("_len"),
         F.col("_salt").alias("_s"),
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"),
     )
-    counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     kind = "array<struct<len:bigint,low:bigint,high:bigint,n:bigint,seq:bigint,at:bigint>>"
     table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(slots(best_two_fit(counts, size)))), kind)))
     inside = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")

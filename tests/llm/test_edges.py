@@ -453,6 +453,12 @@ def test_pipeline(spark, tmp_path, mixed, empty):
 OWN_NAMES = ["_doc", "_gone", "_cut", "_spans", "_open", "_lines", "kept", "score", "predicted", "kept_text", "n_dropped", "key"]
 
 
+def test_lengths_of_very_many_pieces_are_cut_into_more_groups():
+    salts = packing.salts_of({3: 10, 2048: 10**10}, 2048)
+    assert len(salts) == 2049 and salts[3] == salts[0] == packing.SALT
+    assert 10**10 / salts[2048] <= packing.GROUP
+
+
 def test_stages_keep_columns_of_any_name(spark, mixed):
     sf = "/root/testdata/sf0.001"
     clashing = mixed.drop("key").withColumns({c: F.lit(f"own {c}") for c in OWN_NAMES})
