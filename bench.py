@@ -38,7 +38,6 @@ HEADLINE = [
     "score_columns",
     "read_meta_tsv",
     "extract_long",
-    "write_training_rows",
     "sample_partition",
     "word_counts_lexicon",
     "protect_columns",

@@ -198,9 +198,9 @@ def scored_by_model(t: Tables):
         ),
         "votes",
     )
-    right = votes.agg((F.avg((F.col("label") == F.col("class_id")).cast("int")) >= 0.9).alias("mostly_right"))
+    right = votes.agg(F.avg((F.col("label") == F.col("class_id")).cast("int")) >= 0.9).scalar()
     sure = F.col("probability").between(1 / len(CLASSES), 1).alias("sure")
-    return votes.select(*KEY, "class_id", "n_values", sure).join(F.broadcast(right))  # one row
+    return votes.select(*KEY, "class_id", "n_values", sure, right.alias("mostly_right"))
 
 
 def network_parts(t: Tables) -> tuple:
@@ -234,16 +234,19 @@ def train_best_restore(t: Tables):
     scores = [(r.step, r.accuracy) for r in log.filter("accuracy IS NOT NULL").collect()]  # a few steps
     restored = network.step_model(path, network.best_step(scores))
     tested = stored(network.predict(restored, rows["test"]).select("class_id", "prediction"), "tested")
-    majority = tested.groupBy("class_id").count().agg(F.max("count").alias("most"))
-    hits = tested.agg(F.count_if(F.col("class_id") == F.col("prediction")).alias("hits"))
-    facts = hits.join(F.broadcast(majority)).select(
-        (F.col("hits") > 2 * F.col("most")).alias("beats_majority"),
+    most = tested.groupBy("class_id").count().agg(F.max("count")).scalar()
+    hits = tested.agg(F.count_if(F.col("class_id") == F.col("prediction"))).scalar()
+    report = evaluate.classification_report(tested, "class_id", "prediction").filter("class_id < 8")
+    return report.select(
+        "class_id",
+        "class",
+        "support",
+        (F.col("f1") >= FLOOR).alias("over_floor"),
+        (hits > 2 * most).alias("beats_majority"),
         F.lit(before).cast("int").alias("steps_before_stop"),
         F.lit(log.count() > before).alias("went_on"),
         F.lit(model.weights == restored.weights).alias("best_restored"),
     )
-    report = evaluate.classification_report(tested, "class_id", "prediction").filter("class_id < 8")
-    return report.select("class_id", "class", "support", (F.col("f1") >= FLOOR).alias("over_floor")).join(F.broadcast(facts))
 
 
 # ---- thresholds ------------------------------------------------------------------------
