@@ -2,8 +2,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldwarden.functions.encoders import binary_weights, class_weights, percent_label
-from fieldwarden.functions.vocab import DEEP_SIZE, META_FIELDS, WIDE_SIZE
-from fieldwarden.operators.features import add_features, labels, split_rejects, wide_features
+from fieldwarden import session
+from fieldwarden.functions.vocab import DEEP_SIZE, KEY, META_FIELDS, WIDE_LAYOUT, WIDE_SIZE
+from fieldwarden.operators import joining
+from fieldwarden.operators.features import (
+    add_features,
+    dataset_features,
+    labels,
+    split_rejects,
+    wide_features,
+    wide_size,
+)
+from fieldwarden.sources.store import read_features, write_features
 
 # ---- Fixed values: published rows and the vectors they must give ----------------
 
@@ -127,3 +137,57 @@ def test_percent_label(spark):
     df = spark.createDataFrame(rows, "n long, total long")
     got = [r.p for r in df.select(percent_label(F.col("n"), F.col("total")).alias("p")).collect()]
     assert got == ["33.33%", "66.67%", "", "12.50%", "12.56%", "100.00%", "", "1.01%"]
+
+
+# ---- many columns and values ------------------------------------------------------
+
+
+def few_columns(spark, n=40):
+    meta = spark.range(n).select(
+        F.lit("T").alias("stage_table_name"),
+        F.concat(F.lit("C"), F.col("id").cast("string")).alias("stage_column_name"),
+        *[F.lit(v).alias(k) for k, v in WIDE_ROW.items() if k != "column_value"],
+        F.lit("1").alias("column_is_sensitive"),
+        F.lit("邮箱").alias("column_sensitive_type"),
+    )
+    return meta, meta.select(*KEY, F.lit("a@b.c").alias("column_value"))
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_much_encoded_metadata_is_shuffled(spark, monkeypatch):
+    meta, values = few_columns(spark)
+    small = dataset_features(values, meta, CHARACTERS)
+    assert "SortMergeJoin" not in executed(small)
+    monkeypatch.setattr(joining, "LARGE_META", 0)
+    monkeypatch.setattr(session, "BYTES_PER_TASK", 100)
+    monkeypatch.setattr(session, "MOST_BYTES_PER_TASK", 1000)
+    large = dataset_features(values, meta, CHARACTERS)
+    assert "BroadcastHashJoin" not in executed(large) and "RoundRobin" in executed(large)
+    assert sorted(large.collect()) == sorted(small.collect())
+
+
+def test_number_of_heavy_tasks_grows_with_the_input(spark, monkeypatch):
+    rows = spark.range(1000)
+    assert session.spread_heavy(rows) is rows
+    monkeypatch.setattr(session, "BYTES_PER_TASK", 100)
+    monkeypatch.setattr(session, "MOST_BYTES_PER_TASK", 200)
+    assert [session.spread_heavy(spark.range(n)).rdd.getNumPartitions() for n in (1000, 2000)] == [40, 80]
+
+
+def test_splits_are_written_without_a_sort(spark, tmp_path):
+    """A task that sorts wide rows by their folder holds all of them in memory."""
+    meta, values = few_columns(spark)
+    meta = meta.withColumn("split", F.when(F.col("stage_column_name") < "C2", "train").otherwise("test"))
+    rows = dataset_features(values, meta, CHARACTERS, carry=["split"])
+    path = str(tmp_path / "features")
+    write_features(rows, path)
+    assert sorted(r["count"] for r in read_features(spark, path).groupBy("split").count().collect()) == [12, 28]
+    rows.createOrReplaceTempView("split_rows")
+    spark.sql(f"CREATE TABLE split_features USING parquet LOCATION '{path}'")
+    insert = f"INSERT INTO split_features SELECT {', '.join(spark.table('split_features').columns)} FROM split_rows"
+    text = spark.sql(f"EXPLAIN {insert}").first()[0]
+    spark.sql("DROP TABLE split_features")
+    assert "WriteFiles" in text and "Sort " not in text
