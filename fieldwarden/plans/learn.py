@@ -16,7 +16,7 @@ from collections.abc import Iterable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import HashingTF, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +25,9 @@ from fieldwarden.functions.encoders import binary_weights, class_weight, class_w
 from fieldwarden.functions.text import EOS_MARK, PAD_MARK, clean_text
 from fieldwarden.functions.vocab import CLASSES, KEY, MAX_LEN, WIDE_LAYOUT
 from fieldwarden.operators.evaluate import accuracy, classification_report
-from fieldwarden.operators.features import COLUMN_TYPE_FROM, labels, wide_features
-from fieldwarden.operators.joining import META_ALIASES, attach
+from fieldwarden.operators.features import COLUMN_TYPE_FROM, labels, wide_features, wide_size
+from fieldwarden.operators.joining import META_ALIASES, attach, shuffled_if_large
+from fieldwarden.session import spread_heavy
 from fieldwarden.sources.store import save_model
 
 META_HASH_BITS, VALUE_HASH_BITS = 13, 12
@@ -81,13 +82,15 @@ def encode(
 ) -> DataFrame:
     """Add one vector of the wide slots and hashed 3-grams of the given fields."""
     out = with_grams(df, fields, column_type_from)
+    # without a known size the assembler runs the whole join for one row, just to measure it
+    sized = VectorSizeHint(inputCol="_wide", size=wide_size(fields), handleInvalid="optimistic").transform(out)
     hasher = HashingTF(inputCol="_grams", outputCol="_hashed", numFeatures=1 << hash_bits)
     joined = VectorAssembler(inputCols=["_wide", "_hashed"], outputCol=output)
-    return joined.transform(hasher.transform(out)).select(*df.columns, output)
+    return joined.transform(hasher.transform(sized)).select(*df.columns, output)
 
 
 def encode_meta(meta: DataFrame, column_type_from: str = COLUMN_TYPE_FROM) -> DataFrame:
-    return encode(meta, WIDE_LAYOUT[:-1], META_VECTOR, META_HASH_BITS, column_type_from)
+    return encode(spread_heavy(meta), WIDE_LAYOUT[:-1], META_VECTOR, META_HASH_BITS, column_type_from)
 
 
 def encode_values(rows: DataFrame) -> DataFrame:
@@ -104,7 +107,7 @@ def learning_rows(
     meta = labels(meta.withColumnsRenamed(META_ALIASES))
     kept = [*(carry or []), "is_sensitive", "class_id", META_VECTOR]
     encoded = encode_meta(meta, column_type_from).select(*KEY, *kept)
-    joined = attach(values.select(*KEY, "column_value"), encoded)
+    joined = attach(values.select(*KEY, "column_value"), shuffled_if_large(encoded, meta))
     return encode_values(joined.na.fill("", ["column_value"]))
 
 
@@ -139,7 +142,7 @@ def train(
 
     ``balanced`` weighs the classes of the label in use by the default ratio;
     ``label`` may also name the binary flag. Spark ML keeps the training rows in memory or on disk
-    while it iterates.
+    while it iterates, but plans and reads them several times before and after: hand in a stored table.
     """
     if balanced and weights is None:
         weights = class_weights(len(CLASSES)) if label == "class_id" else binary_weights()

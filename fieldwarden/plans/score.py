@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fieldwarden.functions.encoders import class_name
 from fieldwarden.functions.rules import keyword_class, rule_class_id
 from fieldwarden.functions.vocab import CLASSES, KEY, STATUS_OK
-from fieldwarden.operators.joining import META_ALIASES, attach
+from fieldwarden.operators.joining import META_ALIASES, attach, shuffled_if_large
 from fieldwarden.operators.voting import FLAGS, gather_predictions, vote, vote_in_row
 from fieldwarden.plans import learn, network
 from fieldwarden.sources.requests import explode_request_values, listed_values, request_fields, validate_requests
@@ -128,8 +128,9 @@ def score_columns(
     number (text would turn the hash aggregation into a sort).
     """
     carry = carry or []
-    prepared = predictor.prepare(meta.withColumnsRenamed(META_ALIASES))
-    joined = attach(values, prepared.select(*KEY, *carry, predictor.carried))
+    meta = meta.withColumnsRenamed(META_ALIASES)
+    prepared = predictor.prepare(meta).select(*KEY, *carry, predictor.carried)
+    joined = attach(values, prepared if predictor.of_value is not None else shuffled_if_large(prepared, meta))
     predicted = predictor.predict(joined.na.fill("", ["column_value"]))
     return vote(predicted, [*KEY, *carry], position=position, names=predictor.names)
 

@@ -141,3 +141,17 @@ def test_long_texts_are_hashed_whole(spark):
     rows = spark.createDataFrame([(f"{start}{end}",) for end in ("xyz", "zyx")], "column_value string")
     first, second = (r[learn.VALUE_VECTOR] for r in learn.encode_values(rows).collect())
     assert first != second
+
+
+def test_encoding_runs_no_job(spark, sf_dir):
+    """The sizes of all parts are known: the join does not run once more for one row."""
+    t = Tables(spark, sf_dir)
+    values, meta = t.f_class_values, t.f_class_meta
+    spark.sparkContext.setJobGroup("encode", "encode")
+    try:
+        rows = learn.learning_rows(values, meta)
+        learn.classifier().getStages()[0].transform(rows)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("encode")
+    assert rows.first()[learn.META_VECTOR].size == 78 + (1 << learn.META_HASH_BITS)

@@ -154,7 +154,8 @@ def encoded(t: Tables, path: str, name: str) -> DataFrame:
 
 
 def trained(t: Tables, path: str):
-    return learn.train(encoded(t, path, "train"), max_iter=20)
+    # Spark ML asks for its rows five times before they are in memory: the join runs once
+    return learn.train(stored(encoded(t, path, "train"), "train-rows"), max_iter=20)
 
 
 # what the results of learning must agree in: columns, classes, numbers of rows; quality is a floor
