@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from fieldwarden.functions.vocab import CLASSES, KEY, WIDE_SIZE
 from fieldwarden.operators.evaluate import accuracy
 from fieldwarden.plans.learn import META_VECTOR, VALUE_VECTOR
+from fieldwarden.session import stored
 from fieldwarden.sources.store import path_exists
 
 # the wide slots stand in front of the hashed 3-grams; the last one is the value's
@@ -37,13 +38,19 @@ Branches = dict[str, LogisticRegressionModel]
 
 
 def learn_branches(rows: DataFrame, label: str = "class_id", max_iter: int = 20, reg: float = 1e-4) -> Branches:
-    """For each branch weights from its 3-grams to the classes, from rows of ``learn.learning_rows``."""
+    """For each branch weights from its 3-grams to the classes, from rows of ``learn.learning_rows``.
+
+    All values of a column share its metadata, so that branch learns from each
+    distinct row once, which weighs as many as there are of it.
+    """
     known = rows.filter(F.col(label).isNotNull())
+    meta = known.groupBy(label, META_VECTOR).agg(F.count(F.lit(1)).cast("double").alias("_weight"))
+    inputs = {META_VECTOR: stored(meta, "meta-rows"), VALUE_VECTOR: known.withColumn("_weight", F.lit(1.0))}
     return {
         branch: LogisticRegression(
             featuresCol=branch, labelCol=label, predictionCol=f"{branch}_class", probabilityCol=f"{branch}_says",
-            rawPredictionCol=f"{branch}_raw", maxIter=max_iter, regParam=reg, standardization=False,
-        ).fit(known)
+            rawPredictionCol=f"{branch}_raw", maxIter=max_iter, regParam=reg, standardization=False, weightCol="_weight",
+        ).fit(inputs[branch])
         for branch in WIDE_SLOTS
     }
 

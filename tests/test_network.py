@@ -1,6 +1,7 @@
 """A network trained in steps: stopped and resumed, early stop, thresholds."""
 
 import pytest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -120,3 +121,20 @@ def test_binary_scoring_end_to_end(spark, sf_dir, tmp_path):
     ).collect()
     assert {r.raw_label for r in votes} <= set(FLAGS)
     assert sum(r.label == r.is_sensitive for r in votes) > 0.8 * len(votes)
+
+
+def test_metadata_branch_learns_from_each_row_once(spark):
+    """Values of a column share its metadata: equal rows are one that weighs more, and the model stays the same."""
+    rows = spark.range(300).select(
+        *[F.lit(k).alias(k) for k in KEY],
+        F.when(F.col("id") != 7, F.col("id") % 3).cast("int").alias("class_id"),
+        array_to_vector(F.array((F.col("id") % 5).cast("double"), (F.col("id") % 7).cast("double"))).alias(learn.META_VECTOR),
+        array_to_vector(F.array(F.sin("id"), F.cos("id"))).alias(learn.VALUE_VECTOR),
+    )
+    branches = network.learn_branches(rows, max_iter=10)
+    assert branches[learn.META_VECTOR].summary.predictions.count() == 105
+    for branch, model in branches.items():
+        plain = LogisticRegression(
+            featuresCol=branch, labelCol="class_id", maxIter=10, regParam=1e-4, standardization=False
+        ).fit(rows.filter("class_id IS NOT NULL"))
+        assert abs(model.coefficientMatrix.toArray() - plain.coefficientMatrix.toArray()).max() < 1e-6
