@@ -154,7 +154,7 @@ def encoded(t: Tables, path: str, name: str) -> DataFrame:
 
 
 def trained(t: Tables, path: str):
-    # Spark ML asks for its rows five times before they are in memory: the join runs once
+    # Spark ML plans its rows three times and reads them twice: with a stored table the join runs once
     return learn.train(stored(encoded(t, path, "train"), "train-rows"), max_iter=20)
 
 
